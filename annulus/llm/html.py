@@ -122,10 +122,11 @@ def main_text(html: str | None) -> str:
     size = [len(t) for t, *_ in found]
     ahead, last, far = [(BAD, 0)] * len(found), BAD, 0
     for k in range(len(found) - 1, -1, -1):
-        if kinds[k] != SHORT:
-            last, far = kinds[k], 0
         ahead[k] = (last, far)
-        far += size[k]
+        if kinds[k] == SHORT:
+            far += size[k]
+        else:
+            last, far = kinds[k], 0
     keep, last, far = [], BAD, 0
     for k, (t, _, _, heading) in enumerate(found):
         if kinds[k] == SHORT:
