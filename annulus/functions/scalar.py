@@ -47,3 +47,73 @@ def air_mass(altitude: Column) -> Column:
 
 def magnitude(flux: Column) -> Column:
     return F.when(flux > 0, -2.5 * F.log10(flux))
+
+
+def image_angle(pa: Column, north: float = 0.0) -> Column:
+    """The inverse of `position_angle`: degrees in image axes."""
+    return F.pmod(F.lit(north) - pa, F.lit(360.0))
+
+
+def direction(angle: Column) -> Column:
+    """Unit vector (dx, dy) of an image angle, y down."""
+    return F.struct(F.sin(F.radians(angle)).alias("dx"), (-F.cos(F.radians(angle))).alias("dy"))
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    return 0.25 * r + 0.5 * g + 0.25 * b
+
+
+def calibrated(raw: Column, dark: Column, flat: Column) -> Column:
+    """Dark-subtracted, flat-divided value; null where the flat has no positive value."""
+    return F.when(flat > 0, (raw - dark) / flat)
+
+
+def saturated(raw: Column, white: float, pedestal: float, share: float) -> Column:
+    return raw >= pedestal + share * (white - pedestal)
+
+
+def tone_map(r: Column, g: Column, b: Column, scale: float, strength: float = 10.0, ceiling: float = 0.9) -> list[Column]:
+    """asinh per channel, then one factor for all three that bends the brightest below `ceiling`."""
+    up = [F.asinh(F.greatest(c, F.lit(0.0)) / scale * strength) / F.asinh(F.lit(strength)) for c in (r, g, b)]
+    peak = F.greatest(*up)
+    factor = F.when(peak > 0, -ceiling * F.expm1(-peak / ceiling) / peak).otherwise(0.0)
+    return [u * factor for u in up]
+
+
+def extinction(mass: Column, reference: float, k: float) -> Column:
+    return F.pow(F.lit(10.0), 0.4 * k * (mass - reference))
+
+
+def baumbach(radius: Column) -> Column:
+    """Corona brightness in units of the mean disc (1937). The coefficients of the law."""
+    r = F.greatest(radius, F.lit(1.0))
+    return 1e-6 * (0.0532 * F.pow(r, F.lit(-2.5)) + 1.425 * F.pow(r, F.lit(-7.0)) + 2.565 * F.pow(r, F.lit(-17.0)))
+
+
+def soft_mask(distance: Column, radius: float, edge: float) -> Column:
+    """0 within `radius`, 1 beyond its soft edge."""
+    return clip((distance - radius) / edge, 0.0, 1.0)
+
+
+def decimal_comma(x: Column, digits: int = 2) -> Column:
+    return F.translate(F.format_string(f"%.{digits}f", x), ".", ",")
+
+
+def star_label(hip: Column, tyc: Column, kind: Column, v: Column) -> Column:
+    """Catalogue number (the first that is known), spectral type and magnitude, without what is missing."""
+    number = F.coalesce(F.concat(F.lit("HIP "), hip.cast("string")), F.concat(F.lit("TYC "), tyc))
+    return F.when(number.isNull(), "").otherwise(F.concat_ws(", ", number, kind, F.concat(F.lit("V="), decimal_comma(v))))
+
+
+def tangent_plane(ra: Column, dec: Column, ra0: float, dec0: float) -> dict[str, Column]:
+    """Gnomonic coordinates xi, eta (arc seconds) and separation sep (degrees) from a centre, all angles in degrees."""
+    a, d, d0 = F.radians(ra - ra0), F.radians(dec), F.radians(F.lit(dec0))
+    den = F.sin(d) * F.sin(d0) + F.cos(d) * F.cos(d0) * F.cos(a)
+    xi, eta = F.cos(d) * F.sin(a) / den, (F.sin(d) * F.cos(d0) - F.cos(d) * F.sin(d0) * F.cos(a)) / den
+    return {"xi": F.degrees(xi) * 3600, "eta": F.degrees(eta) * 3600, "sep": F.degrees(F.acos(clip(den, -1.0, 1.0)))}
+
+
+def blend(base: Column, layer: Column, mode: str, opacity: float) -> Column:
+    """`layer` over `base` (both 0 to 1) in one of the modes normal, multiply, overlay."""
+    out = {"normal": layer, "multiply": base * layer, "overlay": F.when(base < 0.5, 2 * base * layer).otherwise(1 - 2 * (1 - base) * (1 - layer))}[mode]
+    return base + (out - base) * opacity

@@ -27,3 +27,23 @@ def superpixels(pixels: DataFrame) -> DataFrame:
     site = F.pmod("y", F.lit(2)) * 2 + F.pmod("x", F.lit(2))
     at = lambda *k: F.avg(F.when(site.isin(*k), F.col("value")))
     return pixels.groupBy(F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")).agg(at(0).alias("r"), at(1, 2).alias("g"), at(3).alias("b"))
+
+
+def around(pixels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """Each pixel's value sent to the pixels at `offsets` (dy, dx) from it."""
+    o = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets]))
+    return pixels.select("y", "x", "value", o.alias("o")).select((F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "value")
+
+
+def green_plane(pixels: DataFrame) -> DataFrame:
+    """Green of an R G / G B mosaic at every site: measured, or the mean of four neighbours, null unless all four are there."""
+    green = pixels.where(F.pmod(F.col("y") + F.col("x"), F.lit(2)) == 1)
+    mean = around(green, [(-1, 0), (1, 0), (0, -1), (0, 1)]).groupBy("y", "x").agg(F.when(F.count("value") == 4, F.avg("value")).alias("mean"))
+    own = F.when(F.pmod(F.col("y") + F.col("x"), F.lit(2)) == 1, F.col("value")).otherwise(F.col("mean"))
+    return pixels.join(mean, ["y", "x"], "left").select("y", "x", own.alias("green"))
+
+
+def local_maxima(pixels: DataFrame, above: float) -> DataFrame:
+    """Pixels over `above` that none of their eight neighbours exceeds."""
+    top = around(pixels, [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]).groupBy("y", "x").agg(F.max("value").alias("top"))
+    return pixels.where(F.col("value") > above).join(top, ["y", "x"]).where("value = top").drop("top")

@@ -23,3 +23,25 @@ def mutual_nearest(pairs: DataFrame) -> DataFrame:
     """The pairs of `radius_join` in which each is the other's nearest; ties go to the smaller id."""
     of = lambda k, other: F.row_number().over(Window.partitionBy(k).orderBy("distance", other))
     return pairs.withColumn("ra", of("a_id", "b_id")).withColumn("rb", of("b_id", "a_id")).where("ra = 1 and rb = 1").drop("ra", "rb")
+
+
+def nearest(pairs: DataFrame, k: int) -> DataFrame:
+    """The `k` nearest partners of each a_id of `radius_join`, with their place `rank`; ties go to the smaller id."""
+    w = Window.partitionBy("a_id").orderBy("distance", "b_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """One row for each key, the first in `order`, which must end in something unique."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("place = 1").drop("place")
+
+
+def vote(a: DataFrame, b: DataFrame, *, brightest: int, bin: float, reach: float) -> DataFrame:
+    """Votes (cx, cy, votes) for the shift between two lists (id, x, y, snr): offsets of all of `b` from the `brightest` of `a`.
+
+    Those few, at most `brightest` rows, travel as one array beside each row of `b`.
+    """
+    top = a.orderBy(F.desc("snr"), "id").limit(brightest).agg(F.collect_list(F.struct("x", "y")).alias("top")).withColumn("one", F.lit(1))
+    p = b.withColumn("one", F.lit(1)).join(F.broadcast(top), "one").select("x", "y", F.explode("top").alias("t")).select((F.col("x") - F.col("t.x")).alias("dx"), (F.col("y") - F.col("t.y")).alias("dy"))
+    near = p.where((F.abs(F.col("dx")) <= reach) & (F.abs(F.col("dy")) <= reach))
+    return near.groupBy(F.floor(F.col("dx") / bin).alias("cx"), F.floor(F.col("dy") / bin).alias("cy")).agg(F.count("*").alias("votes"))

@@ -1 +1,4 @@
 """Named queries over the tables."""
+
+from . import sky  # noqa: F401
+from .catalogue import ORACLE, QUERIES  # noqa: F401

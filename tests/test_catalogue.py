@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from annulus.plans.catalogue import ORACLE, QUERIES
+from annulus.plans import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
