@@ -18,9 +18,11 @@ from .common import shared_folder
 
 #: A payload is padded with spaces to a positive multiple of this many bytes.
 UNIT = 192
-RATE = 8000
-HEADER = "<4sI4s4sIHHIIHH4sI"
-HEADER_BYTES = 44
+#: Samples of a row of the stored image: one unit.
+WIDTH = UNIT
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
+#: Signature and the whole first chunk, which holds the size and the kind of samples.
+HEADER_BYTES = 33
 
 
 def payload_of(text: str | None) -> bytes:
@@ -28,16 +30,29 @@ def payload_of(text: str | None) -> bytes:
     return raw + b" " * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-def wav_of(samples: bytes) -> bytes:
-    """The samples as one channel of 8-bit PCM. Their number is even, so the chunk needs no pad byte."""
-    return struct.pack(HEADER, b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", len(samples)) + samples
+def chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def png_of(samples: bytes) -> bytes:
+    """The samples as a grey PNG image, 8 bits each, one unit a row; lossless and compressed."""
+    rows = np.frombuffer(samples, dtype=np.uint8).reshape(-1, WIDTH)
+    plain = np.concatenate([np.zeros((len(rows), 1), dtype=np.uint8), rows], axis=1).tobytes()  # filter 0 before each row
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(plain, 1)) + chunk(b"IEND", b"")
 
 
 def header_of(raw: bytes) -> dict:
-    riff, _, wave, _, _, kind, channels, rate, _, _, bits, data, length = struct.unpack(HEADER, raw)
-    if (riff, wave, data, kind) != (b"RIFF", b"WAVE", b"data", 1):
-        raise ValueError("not an 8-bit PCM file")
-    return {"channels": channels, "sample_rate": rate, "bits": bits, "frames": length // (channels * bits // 8)}
+    signature, _, kind, width, height, bits, colour = struct.unpack(">8sI4sIIBB", raw[:26])
+    if (signature, kind, bits, colour) != (SIGNATURE, b"IHDR", 8, 0):
+        raise ValueError("not a grey PNG image of 8 bits")
+    return {"width": width, "height": height, "bits": bits}
+
+
+def samples_of(media: bytes) -> bytes:
+    """The samples of an image that `png_of` made."""
+    (length,) = struct.unpack(">I", media[HEADER_BYTES : HEADER_BYTES + 4])
+    plain = zlib.decompress(media[HEADER_BYTES + 8 : HEADER_BYTES + 8 + length])
+    return np.frombuffer(plain, dtype=np.uint8).reshape(-1, header_of(media)["width"] + 1)[:, 1:].tobytes()
 
 
 def feature_of(samples: bytes) -> str:
@@ -51,14 +66,14 @@ def feature_of(samples: bytes) -> str:
 
 
 #: Fields of a stored payload, beside the row's own id.
-STORED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, sample_rate int, frames long"
+STORED = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, shard string, offset long, width int, height int"
 
 
 def store(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str = "text", shard_bytes: int = 64 << 20) -> DataFrame:
-    """Store each text as an 8-bit WAV file in tar shards under `folder`; return one row per document.
+    """Store each text as an 8-bit grey PNG image in tar shards under `folder`; return one row per document.
 
     Each task writes the texts it reads into shards of about `shard_bytes`, each payload once per shard under
-    its SHA-256, and closes a shard before it reads back: headers by range reads of 44 bytes at the recorded
+    its SHA-256, and closes a shard before it reads back: headers by range reads of 33 bytes at the recorded
     offsets, then the samples. A shard's name is new in every attempt, so a repeated task leaves an unused
     shard behind and never touches one that rows point to. Rows of a lost attempt are computed again from the
     input. Equal texts give equal values in all columns but shard and offset. A null or empty text is stored
@@ -80,8 +95,8 @@ def store(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str = "text
                 for _, _, payload, digest in rows:
                     if digest in places:
                         continue
-                    media = wav_of(payload)
-                    info = tarfile.TarInfo(f"{digest}.wav")
+                    media = png_of(payload)
+                    info = tarfile.TarInfo(f"{digest}.png")
                     info.size = len(media)
                     head = info.tobuf(tarfile.USTAR_FORMAT)
                     pad = -len(media) % tarfile.BLOCKSIZE
@@ -94,11 +109,11 @@ def store(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str = "text
                 for digest, (offset, length) in places.items():
                     head = header_of(f.read_at(HEADER_BYTES, offset))
                     media = f.read_at(length, offset)
-                    samples = media[HEADER_BYTES : HEADER_BYTES + head["frames"]]
+                    samples = samples_of(media)
                     found[digest] = {
                         "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:]),
                         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature_of(samples),
-                        "shard": name, "offset": offset, "sample_rate": head["sample_rate"], "frames": head["frames"],
+                        "shard": name, "offset": offset, "width": head["width"], "height": head["height"],
                     }
             return pa.RecordBatch.from_pylist([{"id": i, "n_bytes": n} | found[digest] for i, n, _, digest in rows], schema=schema)
 

@@ -95,7 +95,7 @@ def test_media_round_trip(spark, docs, tmp_path):
     for r, (_, t, *_) in zip(media.store(docs, f"file://{tmp_path}").orderBy("doc_id").collect(), corpus()):
         payload = media.payload_of(t)
         stored = media.read_member(r.shard, r.offset, r.media_bytes)
-        assert stored[media.HEADER_BYTES :] == payload and len(payload) % 192 == 0 and payload.rstrip(b" ") == (t or "").encode().rstrip(b" ")
+        assert media.samples_of(stored) == payload and (r.width * r.height, 192) == (len(payload), r.width) and len(payload) % 192 == 0 and payload.rstrip(b" ") == (t or "").encode().rstrip(b" ")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len((t or "").encode()), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_sha256) == (zlib.crc32(payload[-16:]), hashlib.sha256(stored).hexdigest())
 
