@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_of, blocks_for, cut
+from .common import block_of, blocks_for, cut, deal, undeal
 
 #: Symbols of the model beside the characters of a text: before its start, after its end, and for a word that repeats the one before.
 START, END, AGAIN = "\x02", "\x03", "↻"
@@ -82,33 +84,69 @@ def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep:
     """`docs` columns (id, *keep) with nll, the mean negative log-probability of a symbol under the model of the texts in `train` (id).
 
     Documents are dealt once to blocks of about `per_block` bytes. A block asks for its different n-grams, with
-    how often its training texts hold them; the questions, dealt by n-gram, are summed into the counts, and
-    joined with the probabilities made of them; a block then scores its texts with its own answers. So the model is sharded by n-gram
-    and nothing of it is held whole anywhere.
+    how often its training texts hold them, in one compressed message per shard of n-grams; the messages of a shard
+    are summed into its counts, and answered, in their own order, with the probabilities made of all counts; a block then scores
+    its texts with its own answers. So the model is sharded by n-gram and nothing of it is held whole anywhere.
     """
     _, n = blocks_for(docs, text, per_block)
-    d = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep], block_of(id, n).alias("block")).repartition("block")
+    shards = max(1, n // 4)
+    d = deal(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep]), n)
     train = train.select(F.col(id).cast("long").alias("train")).distinct().withColumn("block", block_of("train", n))
+    asked = pa.schema({"block": pa.int32(), "shard": pa.int32(), "grams": pa.binary(), "counts": pa.binary()})
+
+    def by_shard(grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(order, first): the positions of grams in shards, each in the order of the text, and where each shard starts."""
+        shard = np.array([zlib.crc32(g.encode()) % shards for g in grams], dtype=np.int64)
+        return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
 
     def ask(key, table: pa.Table, trained: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return asked.empty_table()
+        table = undeal(table)
         g = Grams(table.column("text").to_pylist(), order)
         chosen = np.isin(table.column("id").fill_null(-1).to_numpy(), trained.column("train").to_numpy())
-        c = np.bincount(g.gram[chosen[g.doc]], minlength=len(g.distinct))
-        return pa.table({"gram": pa.array(g.distinct, pa.string()), "block": pa.array(np.full(len(c), key[0].as_py()), pa.int32()), "c": pa.array(c, pa.int64())})
-
-    kept = [f for f in d.schema if f.name.startswith("keep_")]
+        c = np.bincount(g.gram[chosen[g.doc]], minlength=len(g.distinct)).astype(np.int64)
+        at, first = by_shard(g.distinct)
+        out = {name: [] for name in asked.names}
+        for k in range(shards):
+            own = at[first[k] : first[k + 1]]
+            if len(own):
+                grams = zlib.compress("".join([g.distinct[i] for i in own]).encode())
+                for name, v in zip(out, (key[0].as_py(), k, grams, zlib.compress(c[own].tobytes()))):
+                    out[name].append(v)
+        return pa.table(out, schema=asked)
+
+    def grams_of(message) -> list[str]:
+        line = zlib.decompress(message.as_py()).decode()
+        return [line[i : i + order] for i in range(0, len(line), order)]
+
+    def count(table: pa.Table) -> pa.Table:
+        total: dict[str, int] = {}
+        for grams, counts in zip(table.column("grams"), table.column("counts")):
+            for g, c in zip(grams_of(grams), np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.int64).tolist()):
+                total[g] = total.get(g, 0) + c
+        return pa.table({"gram": pa.array(list(total), pa.string()), "c": pa.array(list(total.values()), pa.int64())})
+
+    def answer(table: pa.Table, model: pa.Table) -> pa.Table:
+        logp = dict(zip(model.column("gram").to_pylist(), model.column("logp").to_pylist()))
+        out = [np.array([logp[g] for g in grams_of(grams)], dtype=np.float32).tobytes() for grams in table.column("grams")]
+        return table.select(["block", "shard"]).append_column("logp", pa.array(out, pa.binary()))
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = undeal(table)
         g = Grams(table.column("text").to_pylist(), order)
-        found = pd.Series(answers.column("logp").to_numpy(), index=answers.column("gram").to_pylist())
-        logp = found.reindex(g.distinct).to_numpy()[g.gram]
-        nll = -np.bincount(g.doc, weights=logp, minlength=table.num_rows) / np.maximum(g.counts, 1)
-        return pa.table({"id": table.column("id"), **{f.name: table.column(f.name) for f in kept}, "n": pa.array(g.counts, pa.int64()), "nll": pa.array(nll, pa.float64())})
-
-    asks = d.groupBy("block").cogroup(train.groupBy("block")).applyInArrow(ask, "gram string, block int, c long").repartition("gram")
-    model = kneser_ney(asks.groupBy("gram").agg(F.sum("c").alias("c")), order)
-    answers = asks.join(model, "gram").select("block", "gram", "logp")
-    fields = ", ".join(["id long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "n long", "nll double"])
+        at, _ = by_shard(g.distinct)
+        replies = [answers.column("logp")[int(k)].as_py() for k in np.argsort(answers.column("shard").to_numpy())]
+        logp = np.empty(len(at))
+        logp[at] = np.frombuffer(b"".join(replies), dtype=np.float32)
+        nll = -np.bincount(g.doc, weights=logp[g.gram], minlength=table.num_rows) / np.maximum(g.counts, 1)
+        return pa.table({"id": table.column("id"), **{f"keep_{c}": table.column(f"keep_{c}") for c in keep}, "n": pa.array(g.counts, pa.int64()), "nll": pa.array(nll, pa.float64())})
+
+    asks = d.groupBy("block").cogroup(train.groupBy("block")).applyInArrow(ask, "block int, shard int, grams binary, counts binary").repartition("shard")
+    model = kneser_ney(cut(asks.groupBy("shard").applyInArrow(count, "gram string, c long")), order)
+    model = model.withColumn("shard", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(shards)).cast("int"))
+    answers = asks.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "block int, shard int, logp binary")
+    fields = ", ".join(["id long", *[f"`keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "n long", "nll double"])
     return d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, fields)
 
 
