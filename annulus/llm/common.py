@@ -59,7 +59,10 @@ def deal(docs: DataFrame, n: int, key: str = "id") -> DataFrame:
                 with pa.ipc.new_stream(sink, t.schema, options=options) as w:
                     w.write_batch(t.slice(start, end - start))
                 out.append(sink.getvalue().to_pybytes())
+            del t
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(out, pa.binary())], names=["block", "rows"])
+            del b, out
+            pa.default_memory_pool().release_unused()
 
     return docs.withColumn("block", block_of(key, n)).mapInArrow(pack, "block int, rows binary").repartition("block")
 

@@ -27,25 +27,29 @@ class Grams:
             lines.append(START * (order - 1) + "".join(marked) + END)
         self.text = "".join(lines)
         lengths = np.array([len(x) for x in lines])
-        ends = np.cumsum(lengths)
         symbols, alphabet = pd.factorize(np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
-        code = np.zeros(max(0, len(symbols) - order + 1), dtype=np.int64)
+        symbols = symbols.astype(np.int32)
+        #: How many symbols each text has, of which text each is, and where the n-gram of each starts. 32 bits do for a block.
+        self.counts = lengths - order + 1
+        self.doc = np.repeat(np.arange(len(lines), dtype=np.int32), self.counts)
+        start = np.arange(len(self.doc), dtype=np.int32)
+        start += self.doc * np.int32(order - 1)
+        code = np.zeros(len(start), dtype=np.int64)
         seen = 1
         for k in range(order):
             if seen * len(alphabet) >= 2**62:
                 code, kinds = pd.factorize(code)
                 seen = len(kinds)
-            code = code * len(alphabet) + symbols[k : k + len(code)]
+            code *= len(alphabet)
+            code += symbols[start + np.int32(k)]
             seen *= len(alphabet)
-        #: Where the n-gram of each predicted symbol starts, and how many symbols each text has.
-        self.counts = lengths - order + 1
-        skip = np.repeat(np.arange(len(lines)), self.counts) * (order - 1)
-        start = np.arange(int(self.counts.sum())) + skip
-        self.gram, distinct = pd.factorize(code[start])
+        del symbols
+        gram, distinct = pd.factorize(code)
+        del code
+        self.gram = gram.astype(np.int32)
         first = np.zeros(len(distinct), dtype=np.int64)
-        first[self.gram[::-1]] = start[::-1]
+        first[gram[::-1]] = start[::-1]
         self.distinct = [self.text[i : i + order] for i in first.tolist()]
-        self.doc = np.repeat(np.arange(len(lines)), self.counts)
 
 
 def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
