@@ -149,6 +149,32 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(got[i].predicted == int(i % 4 == 0) for i in range(400, 600)) and got[600].predicted == got[601].predicted == 0
 
 
+def test_toxicity_evidence_stands_at_any_corpus_size(spark):
+    """Totals of a 30 GB corpus: words and stems with `KINDS` continuation types count, a copied passage does not."""
+    told = spark.createDataFrame([(1, 300_000, 100, 300_100, 10, 5), (2, 300_000, 100, 300_100, 2, 2), (3, 240_000_000, 2_400_000_000, 2_640_000_000, 10, 10)], "gram long, " + ", ".join(f"{x} long" for x in toxicity.TOLD))
+    got = {r.gram: r.llr for r in toxicity.evidence(told, 0.5).collect()}
+    assert got[1] > 0.7 and 2 not in got
+
+
+def test_toxicity_counts_kinds_exactly_over_blocks(spark, monkeypatch):
+    """What the blocks tell of a word's different predecessors and of a stem's different words, up to `KINDS`, is what brute force counts."""
+    r = random.Random(4)
+    stems = [f"{a}{b}" for a in ("nast", "good") for b in ("y", "iness", "ily", "ier", "iest", "yword", "ied", "ies", "ism", "ish", "ist", "ite")]
+    rows = [(i, " ".join(r.choice(stems[: 3 + i // 12] + WORDS) for _ in range(3)), "en", "s", 0) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    told, evidence = {}, toxicity.evidence
+    monkeypatch.setattr(toxicity, "evidence", lambda t, backoff: (told.update({x.gram: x for x in t.collect()}), evidence(t, backoff))[1])
+    toxicity.toxicity(spark.createDataFrame(rows, DOCS), labels, per_block=500).count()
+    want = {}
+    for i, text, *_ in rows[:200]:
+        words = text.split()
+        for before, w in zip([None, *words], words):
+            for n, seed in toxicity.UNITS:
+                gram = int(np.uint64(toxicity.xxhash.xxh64_intdigest(w[:n].encode(), seed)).astype(np.int64))
+                want.setdefault(gram, (set(), set()))[1 - i % 2].add(w if n else before)
+    assert {g: (x.seen_toxic, x.seen_ordinary) for g, x in told.items()} == {g: tuple(min(len(k), toxicity.KINDS) for k in v) for g, v in want.items()}
+
+
 def test_pipeline_keeps_the_columns_until_the_last_stage(spark):
     import corpus_pipeline
 
