@@ -184,3 +184,34 @@ def test_pipeline_keeps_the_columns_until_the_last_stage(spark):
         assert docs.count() > 0
         if name != "packing":
             assert docs.columns == list(corpus_pipeline.COLUMNS)
+
+
+def test_pipeline_removes_near_copies_like_brute_force(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    names = [f"w{i}" for i in range(500)]
+    bases = [[r.choice(names) for _ in range(r.randint(60, 400))] for _ in range(12)]
+    common = [r.choice(names) for _ in range(100)]
+    texts = [" ".join(b) for b in bases] + [" ".join(common + [r.choice(names) for _ in range(r.randint(20, 80))]) for _ in range(30)]
+    for b in bases:
+        for _ in range(8):
+            copy = list(b)
+            for _ in range(r.randint(1, max(1, len(b) // 40))):
+                copy[r.randrange(len(copy))] = r.choice(names)
+            texts.append(" ".join(copy))
+    texts += [texts[0].upper(), "one two", "one  two", "", " ", None, "a b c d e f"]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[i] = root[j] = min(root[i], root[j])
+    got = corpus_pipeline.simhash(spark, spark.createDataFrame(rows, DOCS).repartition(5), "").collect()
+    assert len(set(root)) < len(texts) - 50
+    assert sorted(x.doc_id for x in got) == sorted(set(root))
+    assert corpus_pipeline.simhash(spark, spark.createDataFrame(rows[:0], DOCS), "").count() == 0
