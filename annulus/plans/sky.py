@@ -237,6 +237,31 @@ def agg20_apertures(spark, sf_dir):
     return near.groupBy(F.col("a_id").alias("star")).agg(F.count("*").alias("n"), *rounded(4, r1=within(1), r2=within(2), r3=F.sum("value")))
 
 
+def apertures(pixels, *, radii=20, annulus=(26, 40), least=40):
+    """Rows (star, n, background, f1 ...): every row of `pixels` (id, x, y, value) as the centre of `radii` apertures.
+
+    `background` is the median of the `n` pixels of the annulus and f_k the flux within k pixels above it; both are null where the
+    annulus has fewer than `least` pixels.
+    """
+    near = M.radius_join(pixels, pixels, float(annulus[1])).join(pixels.select(F.col("id").alias("b_id"), F.col("value").cast("double").alias("value")), "b_id")
+    d, v = F.col("distance"), F.col("value")
+    ring = (d >= annulus[0]) & (d < annulus[1])
+    inside = [F.struct(F.count_if(d <= k).alias("n"), F.sum(F.when(d <= k, v)).alias("s")).alias(f"f{k}") for k in range(1, radii + 1)]
+    f = near.groupBy(F.col("a_id").alias("star")).agg(F.count_if(ring).alias("n"), F.median(F.when(ring, v)).alias("b"), *inside)
+    f = f.withColumn("background", F.when(F.col("n") >= least, F.col("b")))
+    return f.select("star", "n", *rounded(4, background=F.col("background"), **{f"f{k}": F.col(f"f{k}.s") - F.col("background") * F.col(f"f{k}.n") for k in range(1, radii + 1)}))
+
+
+FLUXES = [(f"count(*) FILTER (d <= {k}) AS n{k}, sum(v) FILTER (d <= {k}) AS s{k}", f"round(s{k} - b * n{k}, 4) AS f{k}") for k in range(1, 21)]
+
+
+@query(f"""WITH g AS ({GRID}), p AS (SELECT s.y * 50 + s.x AS star, sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2) AS d, CAST(g.value AS DOUBLE) AS v FROM g s JOIN g ON sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2) <= 40),
+a AS (SELECT star, count(*) FILTER (d >= 26 AND d < 40) AS n, CASE WHEN count(*) FILTER (d >= 26 AND d < 40) >= 40 THEN median(v) FILTER (d >= 26 AND d < 40) END AS b, {", ".join(a for a, _ in FLUXES)} FROM p GROUP BY 1)
+SELECT star, n, round(b, 4) AS background, {", ".join(f for _, f in FLUXES)} FROM a""")
+def agg20_aperture_fluxes(spark, sf_dir):
+    return apertures(grid(spark, sf_dir).withColumn("id", F.col("y") * 50 + F.col("x")))
+
+
 @query("""WITH h AS (SELECT p_size // 5 AS cx, CAST(floor(p_retailprice / 100) AS BIGINT) AS cy, count(*) AS n FROM part GROUP BY 1, 2)
 SELECT CAST(cx + i AS BIGINT) AS cx, cy + j AS cy, CAST(sum(n) AS BIGINT) AS votes FROM h, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) GROUP BY 1, 2""")
 def agg25_smoothed_votes(spark, sf_dir):

@@ -49,3 +49,28 @@ def test_smoothing_keeps_a_constant_and_skips_holes(spark):
 
     g = spark.createDataFrame([(y, x, None if (y, x) == (2, 2) else 7.0) for y in range(5) for x in range(5)], "y long, x long, value double")
     assert {round(r.smooth, 9) for r in b3_smooth(g).collect()} == {7.0}
+
+
+def test_apertures_of_all_pixels_against_brute_force(spark):
+    import statistics
+
+    from annulus.plans.sky import apertures
+
+    px = [(y * 16 + x, float(x), float(y), float((x * 7 + y * 13 + x * y) % 31)) for y in range(14) for x in range(16) if (x + y) % 11]
+    got = {r.star: r for r in apertures(spark.createDataFrame(px, "id long, x double, y double, value double"), radii=4, annulus=(5, 8)).collect()}
+    assert len(got) == len(px)
+    for i, x, y, _ in px:
+        d = [(((x - a) ** 2 + (y - b) ** 2) ** 0.5, v) for _, a, b, v in px]
+        ring = [v for r, v in d if 5 <= r < 8]
+        back = statistics.median(ring) if len(ring) >= 40 else None
+        assert (got[i].n, got[i].background) == (len(ring), back)
+        for k in range(1, 5):
+            want = None if back is None else sum(v - back for r, v in d if r <= k)
+            assert got[i][f"f{k}"] == (None if want is None else pytest.approx(want, abs=1e-3))
+    assert {r.background is None for r in got.values()} == {True, False}
+
+
+def test_aperture_fluxes_take_every_pixel(spark):
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    df = QUERIES["agg20_aperture_fluxes"](spark, "/root/testdata/sf0.001")
+    assert df.count() == part and {f"f{k}" for k in range(1, 21)} < set(df.columns)
