@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import tempfile
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a new local one where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`; where that is unset, a new local one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="annulus-")
+    named = named or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or "file://" + tempfile.mkdtemp(prefix="annulus-")
 
 
 def blocks_for(docs: DataFrame, text: str, per_block: int) -> tuple[int, int]:
@@ -34,13 +39,25 @@ def blocks_for(docs: DataFrame, text: str, per_block: int) -> tuple[int, int]:
     return total, max(1, math.ceil(total / per_block))
 
 
-def block_of(key: str, n: int):
-    """The block of a row, from its key alone, so that every pass and every retry agrees."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+def block_of(key: str, n: int, text: str | None = None):
+    """The block of a row, from its key (or the text where that is null) alone, so that every pass and every retry agrees."""
+    h = F.xxhash64(F.col(key)) if text is None else F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(F.xxhash64(F.col(key)))
+    return F.pmod(h, F.lit(n)).cast("int")
 
 
-def deal(docs: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """Rows (block, rows): `docs` shuffled to `n` blocks by `key`.
+def squeeze(x: np.ndarray) -> bytes:
+    """Bytes of 64-bit numbers, all lowest bytes first, compressed."""
+    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unsqueeze(raw, kind) -> np.ndarray:
+    """The numbers of an Arrow scalar that `squeeze` made."""
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py()), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(flat.T).reshape(-1).view(kind)
+
+
+def deal(docs: DataFrame, n: int, key: str = "id", text: str = "text") -> DataFrame:
+    """Rows (block, rows): `docs` shuffled to `n` blocks by `key`, rows without one by `text`.
 
     What an Arrow batch holds of a block is one compressed Arrow stream, so long texts cross the shuffle at the size of a
     strong compression and not at that of Spark's fast one. `undeal` reads them.
@@ -64,7 +81,7 @@ def deal(docs: DataFrame, n: int, key: str = "id") -> DataFrame:
             del b, out
             pa.default_memory_pool().release_unused()
 
-    return docs.withColumn("block", block_of(key, n)).mapInArrow(pack, "block int, rows binary").repartition("block")
+    return docs.withColumn("block", block_of(key, n, text)).mapInArrow(pack, "block int, rows binary").repartition("block")
 
 
 def undeal(table: pa.Table) -> pa.Table:
@@ -72,6 +89,77 @@ def undeal(table: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(r.as_buffer()).read_all() for r in table.column("rows")])
 
 
+#: For each byte, whether it is one of the six ASCII white-space characters.
+SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
+#: Odd bases of the polynomial hashes of words, and the multipliers that join words to windows.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+JOINS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+@lru_cache(maxsize=4)
+def powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, base, dtype=np.uint64)]), dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The bits of 64-bit numbers, mixed."""
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+class Words:
+    """The words of a list of texts (bytes), without an object per word: where each starts and ends, and 64 bits of hash per base.
+
+    The hash of a word is its polynomial in the base over the ring of 64 bits, read off the prefix sums of its text, then mixed.
+    Texts are read in runs of about `run` bytes, so that the sums stay small.
+    """
+
+    def __init__(self, texts: list[bytes], hashes: int = 2, run: int = 1 << 20):
+        self.texts = texts
+        counts, starts, ends, found = [], [], [], [[] for _ in range(hashes)]
+        k = 0
+        while k < len(texts):
+            j, size = k, 0
+            while j < len(texts) and (j == k or size + len(texts[j]) < run):
+                size += len(texts[j]) + 1
+                j += 1
+            raw = np.frombuffer(b" " + b" ".join(texts[k:j]) + b" ", dtype=np.uint8)
+            space = SPACE[raw]
+            edge = np.nonzero(space[1:] != space[:-1])[0] + 1
+            start, end = edge[::2], edge[1::2]
+            begin = np.cumsum([1, *(len(t) + 1 for t in texts[k:j])])
+            doc = np.searchsorted(begin, start, side="right") - 1
+            counts.append(np.bincount(doc, minlength=j - k))
+            starts.append((start - begin[doc]).astype(np.int32))
+            ends.append((end - begin[doc]).astype(np.int32))
+            room = 1 << (len(raw)).bit_length()
+            for h in range(hashes):
+                sums = np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASES[h], room)[: len(raw)], dtype=np.uint64)
+                back = powers(pow(BASES[h], -1, 1 << 64), room)
+                found[h].append(mixed((sums[end - 1] - sums[start - 1]) * back[start]))
+            k = j
+        self.counts = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, dtype=np.int64)
+        #: Number of the first word of each text, and of all words at the end.
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        none = np.empty(0, dtype=np.int32)
+        self.start, self.end = np.concatenate([*starts, none]), np.concatenate([*ends, none])
+        self.hashes = [np.concatenate([*f, np.empty(0, dtype=np.uint64)]) for f in found]
+
+    def windows(self, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(first words, hashes per base) of all runs of n words inside one text, in order."""
+        total = max(0, len(self.start) - n + 1)
+        last = np.repeat(self.first[1:], self.counts)[:total]
+        at = np.nonzero(np.arange(n, total + n) <= last)[0]
+        out = []
+        for h, join in zip(self.hashes, JOINS):
+            x = np.zeros(total, dtype=np.uint64)
+            for j in range(n):
+                x *= np.uint64(join)
+                x += h[j : j + total]
+            out.append(mixed(x[at]))
+        return at, out
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the pairs (a, b)."""
     label = np.arange(n)

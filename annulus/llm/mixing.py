@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,45 +34,79 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: float) -> DataFr
     return t.select("source", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, buckets: int = 512) -> DataFrame:
-    """How many copies of each document the mix takes: rows (id, source, size, source_size, target, copies).
+def shares(sizes: DataFrame, most: int) -> DataFrame:
+    """Per source and size the numbers that sampling needs, from (source, size, n, source_size, target).
 
-    A source needs target / size copies of each word: the whole part is certain, and for the rest every
-    document has that fraction as its inclusion probability. Documents are ranked by random odds over
+    whole copies are certain; want is what they leave of the target; pi, the inclusion probability of a document, is in proportion to its size
+    and 1 at most, such that the expected words are want. Sizes from which on it is 1 are found from the largest down.
+    """
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    t = sizes.withColumn("expected", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0)))
+    t = t.withColumn("whole", F.floor("expected").cast("long")).withColumn("want", F.col("target") - F.col("whole") * F.col("source_size"))
+    t = t.withColumn("words", (F.col("n") * F.col("size")).cast("decimal(38,0)")).withColumn("square", (F.col("words") * F.col("size")).cast("decimal(38,0)"))
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    below = F.sum("square").over(down.rowsBetween(0, Window.unboundedFollowing)).cast("double")
+    t = t.withColumn("rate", F.when(below > 0, (F.col("want") - above) / below))
+    rate = F.max(F.when(F.col("rate") * F.col("size") <= 1, F.struct("size", "rate"))).over(Window.partitionBy("source"))["rate"]
+    return t.select("source", "size", "source_size", "target", "whole", "want", F.least(F.lit(1.0), F.coalesce(rate, F.lit(0.0)) * F.col("size")).alias("pi"))
+
+
+def mix(docs: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, carry: tuple[str, ...] = (), rounds: int = 3) -> DataFrame:
+    """How many copies of each document the mix takes: rows (id, source, *carry, nth, size, source_size, target, copies).
+
+    A source needs target / size copies of each word: the whole part is certain, and for the rest a document's inclusion probability is in
+    proportion to its size (`shares`). Documents are ranked by random odds over
     inclusion odds (Pareto order sampling; the random number comes from a digest of id and source, so reruns
-    agree) and taken in order while the words fit. The last place goes to the document still out whose size
-    comes nearest to the words missing, if that is nearer than leaving it empty.
-
-    The order within a source is a sum over `buckets` slices of the random number first and a window inside
-    one slice second, so a source that holds most rows is spread over tasks. Null or empty texts have size 0
-    and are never taken; repeated ids are separate rows that share a random number; an empty table gives none.
+    agree), those with probability 1 first, and taken in order while the words fit. In `rounds` - 1 more rounds the same is done with the
+    documents left that are no longer than the words missing. The last place goes to the one row still out whose size
+    comes nearest to the words missing, if that is nearer than leaving it empty; so it is not random.
+
+    The order within a source is a sum over slices of the rank first and a window inside
+    one slice second; slices hold some thousand rows each at any size of the table, so a source that holds most rows is spread over tasks. Null or empty texts have size 0
+    and are never taken; rows that repeat an id share a random number but are taken one by one, and `nth` numbers rows that are equal in all
+    columns read; an empty table gives none. Columns other than those named are not read.
     """
-    d = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), words_of(F.col(text)).alias("size"))
-    d = cut(d)  # each text is read once; what follows works on three short columns
-    per = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    d = docs.select(F.col(id).alias("id"), F.col(source).alias("source"), words_of(F.col(text)).alias("size"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    row = ["source", "id", "size", *[f"carry_{c}" for c in carry]]
+    d = cut(d.withColumn("nth", F.row_number().over(Window.partitionBy(*row).orderBy(F.lit(0)))))  # each text is read once
+    fine = F.lit(float(d.count() // 50_000 + 1))
+    sizes = d.groupBy("source", "size").agg(F.count("*").alias("n"))
     # One row per source: a join that broadcasts by Spark's own size check.
+    per = targets(sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most)
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    per = shares(sizes.alias("d").join(per.alias("p"), same("d", "p")).select("d.source", "size", "n", "source_size", "target"), most)
+    d = d.alias("d").join(per.alias("p"), same("d", "p") & (F.col("d.size") == F.col("p.size"))).select("d.*", "source_size", "target", "whole", "want", "pi")
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("source", F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    d = d.withColumn("u", u).withColumn("slice", F.floor(F.col("u") * buckets).cast("int"))
-    per = per.withColumn("expected", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0)))
-    per = per.withColumn("whole", F.floor("expected").cast("long")).withColumn("pi", F.col("expected") - F.col("whole")).withColumn("want", F.col("target") - F.col("whole") * F.col("source_size"))
-    same = F.col("s.source").eqNullSafe(F.col("p.source"))
-    slices = d.groupBy("source", "slice").agg(F.sum("size").alias("in_slice"))
-    before = F.coalesce(F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    slices = slices.withColumn("before", before).alias("s").join(per.alias("p"), same).select("s.source", "slice", "before", "source_size", "target", "whole", "pi", "want")
-    d = d.alias("d").join(slices.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.slice") == F.col("t.slice"))).select("d.*", "before", "source_size", "target", "whole", "pi", "want")
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
-    d = d.withColumn("rank", F.when((F.col("pi") > 0) & (F.col("size") > 0), odds))
-    inside = Window.partitionBy("source", "slice").orderBy(F.col("rank").asc_nulls_last(), F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("upto", F.col("before") + F.sum("size").over(inside)).withColumn("fits", F.col("rank").isNotNull() & (F.col("upto") <= F.col("want")))
-    # The words still missing once the order is cut, and the document that fills them best.
-    left = d.groupBy("source").agg((F.first("want") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("missing"))
-    out = d.where(F.col("rank").isNotNull() & ~F.col("fits")).select("source", "id", "size", "rank").alias("o").join(left.alias("l"), F.col("o.source").eqNullSafe(F.col("l.source")))
-    best = out.groupBy("o.source").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), F.col("rank"), F.col("id"), F.col("missing"))).alias("b"))
-    best = best.where("b.off < abs(b.missing)").select(F.col("source").alias("best_source"), F.col("b.id").alias("best_id"), F.col("b.rank").alias("best_rank"))
-    last = F.col("d.source").eqNullSafe(F.col("best_source")) & F.col("d.id").eqNullSafe(F.col("best_id")) & (F.col("d.rank") == F.col("best_rank"))
-    d = d.alias("d").join(best, F.col("d.source").eqNullSafe(F.col("best_source")), "left")
-    taken = F.col("whole") + F.when(F.col("fits") | F.coalesce(last & ~F.col("fits"), F.lit(False)), 1).otherwise(0)
-    return d.select(F.col("id").alias(id), F.col("d.source").alias(source), "size", "source_size", "target", F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("copies"))
+    odds = (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))
+    d = d.withColumn("rank", F.when(F.col("pi") >= 1, u - 1).when(F.col("pi") > 0, odds)).withColumn("taken", F.lit(False))
+    d = d.withColumn("slice", F.floor(F.when(F.col("rank") < 0, F.col("rank") * fine * 8 - 1e12).otherwise(F.log("rank") * fine)))
+    for _ in range(rounds):
+        d = cut(fill(d, same, row))
+    left = missing(d)
+    out = d.where("rank is not null and not taken").alias("d").join(left.alias("m"), same("d", "m"))
+    place = F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), "rank", "id", "size", *row[3:], "nth")
+    best = out.groupBy("d.source").agg(F.min(place).alias("b"), F.first("missing").alias("missing")).where("b.off < abs(missing)").select("source", "b.*")
+    last = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*row, "nth"]]
+    d = d.alias("d").join(best.withColumn("last", F.lit(True)).alias("b"), reduce(Column.__and__, last), "left").select("d.*", "last")
+    copies = F.col("whole") + (F.col("taken") | F.coalesce("last", F.lit(False))).cast("long")
+    return d.select(F.col("id").alias(id), F.col("source").alias(source), *[F.col(f"carry_{c}").alias(c) for c in carry], "nth", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies"))
+
+
+def missing(d: DataFrame) -> DataFrame:
+    """The words that each source still lacks."""
+    return d.groupBy("source").agg((F.first("want") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0))).alias("missing"))
+
+
+def fill(d: DataFrame, same, row: list[str]) -> DataFrame:
+    """`d` with more rows taken: of those that are out and no longer than the words missing, in the order of rank, while they fit."""
+    d = d.alias("d").join(missing(d).alias("m"), same("d", "m")).select("d.*", "missing")
+    d = d.withColumn("open", F.col("rank").isNotNull() & ~F.col("taken") & (F.col("size") <= F.col("missing"))).withColumn("new", F.when(F.col("open"), F.col("size")).otherwise(0))
+    slices = d.groupBy("source", "slice").agg(F.sum("new").alias("in_slice"))
+    slices = slices.withColumn("before", F.coalesce(F.sum("in_slice").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.alias("d").join(slices.alias("s"), same("d", "s") & F.col("d.slice").eqNullSafe(F.col("s.slice"))).select("d.*", "before")
+    inside = Window.partitionBy("source", "slice").orderBy(F.col("rank").asc_nulls_last(), F.col("id").asc_nulls_last(), "size", *row[3:], "nth").rowsBetween(Window.unboundedPreceding, 0)
+    fits = F.col("open") & (F.col("before") + F.sum("new").over(inside) <= F.col("missing"))
+    return d.withColumn("taken", F.col("taken") | fits).drop("missing", "open", "new", "before")
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:
@@ -78,8 +114,17 @@ def op5_mix(spark, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-#: The same in SQL. The weights and the limit are those of the query.
-OP5_SQL = r"""
+def _round(k: int) -> str:
+    return f"""
+m{k} AS (SELECT source, any_value(want) - sum(CASE WHEN taken THEN size ELSE 0 END) AS missing FROM t{k} GROUP BY source),
+o{k} AS (SELECT t{k}.*, missing, rank IS NOT NULL AND NOT taken AND size <= missing AS open FROM t{k} JOIN m{k} ON t{k}.source IS NOT DISTINCT FROM m{k}.source),
+t{k + 1} AS (SELECT doc_id, source, size, source_size, target, whole, want, rank,
+  taken OR (open AND sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) <= missing) AS taken FROM o{k}),"""
+
+
+#: The same in SQL. The weights, the limit and the three rounds are those of the query.
+OP5_SQL = (
+    r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          (CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
@@ -92,15 +137,20 @@ v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY rat
 g AS (SELECT level FROM v WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, least(cap, (SELECT level FROM g) * weight) AS target FROM v),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS expected FROM t),
-q AS (SELECT *, CAST(floor(expected) AS BIGINT) AS whole, expected - floor(expected) AS pi, target - floor(expected) * source_size AS want FROM p),
-r AS (SELECT d.*, source_size, target, whole, want,
-             CASE WHEN pi > 0 AND size > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS rank
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-o AS (SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) <= want AS fits FROM r),
-m AS (SELECT source, any_value(want) - sum(CASE WHEN fits THEN size ELSE 0 END) AS missing FROM o GROUP BY source),
-b AS (SELECT o.source, o.doc_id, row_number() OVER (PARTITION BY o.source ORDER BY abs(missing - size), rank, o.doc_id) AS n, abs(missing - size) < abs(missing) AS better
-      FROM o JOIN m ON o.source IS NOT DISTINCT FROM m.source WHERE rank IS NOT NULL AND NOT fits)
-SELECT o.doc_id, o.size, o.source_size, o.target,
-       CASE WHEN size > 0 THEN size * (whole + CASE WHEN fits OR b.doc_id IS NOT NULL THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS taken
-FROM o LEFT JOIN b ON b.n = 1 AND b.better AND o.source IS NOT DISTINCT FROM b.source AND o.doc_id = b.doc_id
+q AS (SELECT *, CAST(floor(expected) AS BIGINT) AS whole, target - floor(expected) * source_size AS want FROM p),
+z AS (SELECT d.source, d.size, count(*) AS n, any_value(want) AS want FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source GROUP BY d.source, d.size),
+y AS (SELECT *, (want - CAST(coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+              / nullif(CAST(sum(n * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) AS rate FROM z),
+c AS (SELECT source, arg_max(rate, size) AS rate FROM y WHERE rate * size <= 1 GROUP BY source),
+i AS (SELECT d.*, source_size, target, whole, want, least(1.0::DOUBLE, coalesce(rate, 0) * size) AS pi
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+t0 AS (SELECT doc_id, source, size, source_size, target, whole, want, CASE WHEN pi >= 1 THEN u - 1 WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS rank, false AS taken FROM i),"""
+    + "".join(_round(k) for k in range(3))
+    + """
+m AS (SELECT source, any_value(want) - sum(CASE WHEN taken THEN size ELSE 0 END) AS missing FROM t3 GROUP BY source),
+b AS (SELECT t3.source, doc_id, size, row_number() OVER (PARTITION BY t3.source ORDER BY abs(missing - size), rank, doc_id, size) AS n, abs(missing - size) < abs(missing) AS better
+      FROM t3 JOIN m ON t3.source IS NOT DISTINCT FROM m.source WHERE rank IS NOT NULL AND NOT taken)
+SELECT t3.doc_id, t3.size, t3.source_size, t3.target, CASE WHEN t3.size > 0 THEN t3.size * (whole + CASE WHEN taken OR b.doc_id IS NOT NULL THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS taken
+FROM t3 LEFT JOIN b ON b.n = 1 AND b.better AND t3.source IS NOT DISTINCT FROM b.source AND t3.doc_id = b.doc_id
 """
+)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import block_of, blocks_for, cut, deal, undeal
 
 #: Symbols of the model beside the characters of a text: before its start, after its end, and for a word that repeats the one before.
-START, END, AGAIN = "\x02", "\x03", "↻"
+START, END, AGAIN = "\ue000", "\ue001", "\ue002"
+#: Symbols are of the private use area; where a text holds one of these three itself, it is read as the replacement character.
+FOREIGN = str.maketrans(dict.fromkeys((START, END, AGAIN), "\ufffd"))
 
 
 class Grams:
@@ -22,7 +24,7 @@ class Grams:
     def __init__(self, texts, order: int):
         lines = []
         for t in texts:
-            words = (t or "").split()
+            words = (t or "").translate(FOREIGN).split()
             marked = [" " + w if w != before else AGAIN for w, before in zip(words, ["", *words])]
             lines.append(START * (order - 1) + "".join(marked) + END)
         self.text = "".join(lines)
@@ -108,7 +110,8 @@ def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep:
             return asked.empty_table()
         table = undeal(table)
         g = Grams(table.column("text").to_pylist(), order)
-        chosen = np.isin(table.column("id").fill_null(-1).to_numpy(), trained.column("train").to_numpy())
+        ids = table.column("id")
+        chosen = np.isin(ids.fill_null(0).to_numpy(), trained.column("train").to_numpy()) & np.asarray(ids.is_valid())
         c = np.bincount(g.gram[chosen[g.doc]], minlength=len(g.distinct)).astype(np.int64)
         at, first = by_shard(g.distinct)
         out = {name: [] for name in asked.names}
@@ -156,9 +159,9 @@ def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep:
 
 def classify(
     docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4,
-    held: int = 5, middle: float = 0.5, high: float = 0.9, reach: float = 8.0, least: int = 5, per_block: int = 8 << 20,
+    carry: tuple[str, ...] = (), held: int = 5, middle: float = 0.5, high: float = 0.9, reach: float = 8.0, least: int = 5, per_block: int = 8 << 20,
 ) -> DataFrame:
-    """Rows (id, lang, n, perplexity, limit, kept): the perplexity of each whole text and whether it is within the limit of its language.
+    """Rows (id, lang, *carry, n, perplexity, limit, kept): the perplexity of each whole text and whether it is within the limit of its language.
 
     The model is a character model of `order` trained on all texts that `labels` (id, quality) calls trusted (no row
     with quality other than 1), but for each `held`-th by the hash of its id. A word that repeats the one before
@@ -169,12 +172,12 @@ def classify(
     root of a text's share of a typical length when it is shorter than that.
 
     Null and empty texts are one end symbol and are judged like others; repeated rows are scored alike; an
-    empty table gives none. Columns of `docs` other than these three are not read.
+    empty table gives none; rows with a null id are judged but never trusted. Columns of `docs` other than these three and `carry` are not read.
     """
     ids = F.col(id).cast("long")
     trusted = labels.select(ids.alias(id), "quality").where(F.col(id).isNotNull()).groupBy(id).agg(F.min("quality").alias("a"), F.max("quality").alias("b")).where("a = 1 and b = 1").select(id)
     test = F.pmod(F.crc32(F.col(id).cast("string")), F.lit(held)) == 0
-    scored = cut(perplexities(docs, trusted.where(~test), id=id, text=text, keep=[lang], order=order, per_block=per_block))
+    scored = cut(perplexities(docs, trusted.where(~test), id=id, text=text, keep=[lang, *carry], order=order, per_block=per_block))
     sample = scored.join(trusted.where(test).select(F.col(id).alias("id")), "id").select(F.col(f"keep_{lang}").alias("lang"), F.round("nll", 3).alias("v"))
     limits = quantiles(sample, (middle, high))
     limits = limits.groupBy("lang").agg(F.max("total").alias("total"), *[F.max(F.when(F.col("q") == q, F.col("v"))).alias(c) for q, c in ((middle, "mid"), (high, "up"))]).where((F.col("total") >= least) | F.col("lang").isNull())
@@ -184,7 +187,7 @@ def classify(
     pick = F.coalesce("own", "every")
     short = F.greatest(F.lit(1.0), F.sqrt(F.lit(1000.0) / F.col("n")))
     limit = pick["mid"] + F.lit(reach) * (pick["up"] - pick["mid"]) * short
-    return s.select(F.col("id").alias(id), F.col(f"keep_{lang}").alias(lang), "n", F.exp("nll").alias("perplexity"), F.exp(limit).alias("limit"), (limit.isNull() | (F.col("nll") <= limit)).alias("kept"))
+    return s.select(F.col("id").alias(id), F.col(f"keep_{lang}").alias(lang), *[F.col(f"keep_{c}").alias(c) for c in carry], "n", F.exp("nll").alias("perplexity"), F.exp(limit).alias("limit"), (limit.isNull() | (F.col("nll") <= limit)).alias("kept"))
 
 
 def quantiles(sample: DataFrame, at: tuple[float, ...]) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, forest
+from .common import BASES, Words, components, cut, forest, mixed, powers
 
 #: Quarters of a fingerprint whose population counts name its tile.
 PARTS, WIDTH = 4, 16
@@ -30,9 +30,9 @@ def fingerprint(text: str | None, k: int = 3, seed: int = 42) -> bytes:
     h = b"".join([digest(line[a:b], seed) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())])
     ones = np.zeros(64, dtype=np.int64)
     n = len(h) // 8
-    bits = np.unpackbits(np.frombuffer(h, dtype=np.uint8).reshape(-1, 8), axis=1)
-    for at in range(0, n, 255):  # sums of bytes that can't overflow
-        ones += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+    rows = np.frombuffer(h, dtype=np.uint8).reshape(-1, 8)
+    for at in range(0, n, 255):  # sums of bytes that can't overflow, and few bits unpacked at a time
+        ones += np.unpackbits(rows[at : at + 255], axis=1).sum(axis=0, dtype=np.uint8)
     return np.packbits(2 * ones > n).tobytes()
 
 
@@ -110,84 +110,129 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
 #: Bands and hashes per band of `similar_texts`: a pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^48 = 5e-7.
 BANDS, ROWS = 48, 6
+#: A pair is confirmed exactly unless its signatures agree in a share this far below the similarity asked for: five standard deviations of 288 hashes.
+SLACK = 0.12
 
 
-def shingles(text: str | None, k: int = 5) -> np.ndarray:
-    """The different XXH64 of the k-word shingles of a text, in rising order; of fewer words, of the whole sequence."""
-    words = (text or "").encode().lower().split()
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(max(1, len(words) - k + 1))] if words else []
-    return np.unique(np.array(hashes, dtype=np.uint64))
+def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """For each text the different 64-bit hashes of its runs of k words, A-Z lower-cased, in rising order; of fewer words, of the whole sequence."""
+    w = Words([(t or "").encode().lower() for t in texts], hashes=1)
+    at, (x,) = w.windows(k)
+    first = np.searchsorted(at, w.first)
+    out = [np.unique(x[a:b]) for a, b in zip(first[:-1], first[1:])]
+    for n in range(1, k):
+        short = np.nonzero(w.counts == n)[0]
+        if len(short):
+            at, (x,) = w.windows(n)
+            for i, h in zip(short, x[np.searchsorted(at, w.first[short])]):
+                out[i] = np.array([h ^ np.uint64(n)])
+    return out
 
 
-def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
+def node_of(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes())
+
+
+def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: float = 0.8, tile: int = 1024) -> DataFrame:
     """Rows (columns of `docs`, root): texts linked by a Jaccard similarity of `least` or more of their k-word shingles, directly or in steps.
 
-    Equal shingle sets are one node. Nodes that agree in one of `BANDS` bands of `ROWS` minimum hashes are candidates; every link is
-    confirmed by the exact similarity. In each bucket of a band all are compared with the smallest node, twice, and then all pairs that
-    are still in different components, so a large group of copies needs few comparisons and no pair of a bucket is left out. The bands'
+    Equal shingle sets are one node, so copies cost nothing more. Nodes that agree in one of `BANDS` bands of `ROWS` minimum hashes are
+    candidates; of these, pairs whose signatures (8 bits of each minimum) agree too seldom are dropped, and each link is confirmed by
+    the exact similarity. In each bucket of a band all are compared with the smallest node, twice. What is still in different
+    components is compared in squares of `tile` signatures: the members of a bucket's largest component with the others, and those with
+    one another; so no pair of a bucket is left out and a group of copies costs little. A bucket whose many members are alike but not linked is still compared whole. The bands'
     recall holds for similarities of 0.8 or more. SimHash can't stand in for them: at 0.8 its fingerprints differ in about 10 of 64 bits,
-    and a radius that finds those compares all with all.
+    and a radius that finds those compares all with all. Null and empty texts and those of white space are one node. Every row comes back, repeated ones too.
     """
     r = np.random.default_rng(42)
-    a, b = r.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    a, b = (r.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
     def number(batches):
         for batch in batches:
-            node = np.array([xxhash.xxh64_intdigest(shingles(t.as_py(), k).tobytes()) for t in batch.column(text)], dtype=np.uint64)
+            node = np.array([node_of(h) for h in shingle_sets(batch.column(text).to_pylist(), k)], dtype=np.uint64)
             yield batch.append_column("node", pa.array(node.view(np.int64)))
 
     def sign(batches):
         for batch in batches:
-            size, bands = [], []
-            for t in batch.column(text):
-                h = shingles(t.as_py(), k)
+            node, size, bands, signature = [], [], [], []
+            for h in shingle_sets(batch.column(text).to_pylist(), k):
+                node.append(node_of(h))
                 size.append(len(h))
-                low = np.full(BANDS * ROWS, -1, dtype=np.int64).view(np.uint64)
-                for at in range(0, len(h), 512):
-                    low = np.minimum(low, ((h[at : at + 512, None] ^ b) * a).min(axis=0))
-                bands.append([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(low.reshape(BANDS, ROWS))])
-            bands = np.array(bands, dtype=np.uint64).reshape(-1, BANDS).view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "size", "bands"])
+                low, h = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+                for at in range(0, len(h), 256):
+                    x = (h[at : at + 256, None] ^ b) * a
+                    low = np.minimum(low, (x ^ x >> np.uint32(16)).min(axis=0))
+                bands.append(mixed(np.concatenate([low.reshape(BANDS, ROWS).astype(np.uint64) * powers(BASES[1], ROWS + 1)[1:], np.arange(BANDS, dtype=np.uint64)[:, None]], axis=1).sum(axis=1, dtype=np.uint64)))
+                signature.append((low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
+            bands = [x.view(np.int64).tolist() for x in bands]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())], names=["node", "size", "bands", "signature"])
 
     def confirm(batches):
         for batch in batches:
+            x, y = (shingle_sets(batch.column(c).to_pylist(), k) for c in ("x", "y"))
             ok = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = shingles(x.as_py(), k), shingles(y.as_py(), k)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= least * (len(x) + len(y) - both))
+            for p, q in zip(x, y):
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both >= least * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    numbered = docs.mapInArrow(number, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", node long")
-    nodes = cut(numbered.groupBy("node").agg(F.min(text).alias(text)).mapInArrow(sign, "node long, size int, bands array<long>"))
-    rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
+    def matrix(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+
+    enough = (least - SLACK) * BANDS * ROWS
+
+    def screen(batches):
+        for batch in batches:
+            near = (matrix(batch.column("a_signature")) == matrix(batch.column("b_signature"))).sum(axis=1) >= enough
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    def square(table: pa.Table) -> pa.Table:
+        node, size, root, left = (table.column(c).to_numpy() for c in ("node", "size", "root", "left"))
+        m = matrix(table.column("signature"))
+        p, q = np.nonzero(left)[0], np.nonzero(~left)[0]
+        out = [np.empty((2, 0), dtype=np.int64)]
+        for i in p:
+            near = (root[q] != root[i]) & (np.minimum(size[q], size[i]) >= least * np.maximum(size[q], size[i]))
+            j = q[near]
+            j = j[(m[j] == m[i]).sum(axis=1) >= enough]
+            out.append(np.stack([np.minimum(node[j], node[i]), np.maximum(node[j], node[i])]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    nodes = cut(docs.select(text).mapInArrow(sign, "node long, size int, bands array<long>, signature binary").dropDuplicates(["node"]))
+    rows = nodes.select("node", "size", "signature", F.explode("bands").alias("bucket"))
     members = cut(rows.join(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket").withColumn("root", F.col("node")))
-    texts = members.select("node").distinct()
-    texts = cut(numbered.select("node", F.col(text).alias("t")).join(texts, "node").groupBy("node").agg(F.min("t").alias("t")))
+    numbered = docs.mapInArrow(number, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", node long")
+    wanted = members.select("node").distinct()
+    texts = cut(docs.select(text).mapInArrow(number, f"`{text}` string, node long").join(wanted, "node").groupBy("node").agg(F.min(text).alias("t")))
 
-    def linked(pairs):
-        near = pairs.where((F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size")) & F.expr("a <> b and a_root <> b_root"))
-        near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def confirmed(near):
+        near = near.distinct()
         near = near.join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b")
         return cut(near.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
 
-    side = lambda s, d: d.select("bucket", *[F.col(c).alias(n) for c, n in (("node", s), ("size", f"{s}_size"), ("root", f"{s}_root"))])
     edges = None
-    for last in (False, False, True):
-        if last:
-            pairs = side("a", members).join(side("b", members), "bucket").where("a < b")
-        else:
-            pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "size", "root")).alias("m")).select("bucket", "m.*")
-            pairs = side("a", pivots).join(side("b", members), "bucket")
-        found = linked(pairs)
+    for _ in range(2):
+        pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "size", "root", "signature")).alias("m")).select("bucket", *[F.col(f"m.{c}").alias(f"a_{c}") for c in ("node", "size", "root", "signature")])
+        pairs = members.join(pivots, "bucket").where((F.least("size", "a_size") >= least * F.greatest("size", "a_size")) & F.expr("node <> a_node and root <> a_root"))
+        pairs = pairs.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b"), "a_signature", F.col("signature").alias("b_signature"))
+        found = confirmed(pairs.mapInArrow(screen, "a long, b long"))
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
-        if not last:
-            rest = members.drop("root").join(pivots.select("bucket", F.col("node").alias("pivot")), "bucket").where("node <> pivot").drop("pivot")
-            rest = cut(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-            open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-            members = cut(rest.join(open_, "bucket"))
-    return numbered.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+        rest = members.drop("root").join(pivots.select("bucket", "a_node"), "bucket").where("node <> a_node").drop("a_node")
+        rest = cut(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        members = cut(rest.join(open_, "bucket"))
+
+    per = members.groupBy("bucket", "root").count()
+    main = per.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("all")).select("bucket", F.col("m.root").alias("main"), F.ceil((F.col("all") - F.col("m.count")) / tile).cast("int").alias("lefts"), F.ceil(F.col("all") / tile).cast("int").alias("rights"))
+    m = members.join(main, "bucket").withColumn("part", F.xxhash64("node"))
+    columns = ["bucket", "node", "size", "root", "signature"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = m.where("root <> main").select(*columns, F.lit(True).alias("left"), F.pmod("part", "lefts").cast("int").alias("i"), every("rights").alias("j"))
+    right = m.select(*columns, F.lit(False).alias("left"), every("lefts").alias("i"), F.pmod("part", "rights").cast("int").alias("j"))
+    edges = edges.union(confirmed(left.union(right).groupBy("bucket", "i", "j").applyInArrow(square, "a long, b long")))
+    return numbered.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import block_of, blocks_for
+from .common import Words, block_of, blocks_for
 
 #: Odd multipliers of the sketch's rows.
 ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -18,6 +17,11 @@ ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SEGMENT_BITS = 24
 
 
+def joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """64 bits made of both hashes of a window."""
+    return (low ^ (high.astype(np.uint64) << np.uint64(17))) * np.uint64(ROWS[0]) + high
+
+
 def planes(x: np.ndarray) -> bytes:
     """Bytes of the numbers, all lowest bytes first: small numbers compress well in the shuffle."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
@@ -38,39 +42,30 @@ class Windows:
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
         texts = table.column("text")
-        self.words = [(texts[int(k)].as_py() or "").encode().split() for k in self.order]
-        lengths = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.first = np.concatenate([[0], np.cumsum(lengths)])
-        flat = [w for ws in self.words for w in ws]
-        code, distinct = pd.factorize(np.array(flat, dtype=object)) if flat else (np.empty(0, dtype=np.int64), [])
-        low = np.array([xxhash.xxh64_intdigest(w, 1) for w in distinct], dtype=np.uint64)
-        high = np.array([xxhash.xxh64_intdigest(w, 2) for w in distinct], dtype=np.uint64)
-        m = max(0, len(flat) - n + 1)
-        start = np.arange(m)
-        doc = np.searchsorted(self.first, start, side="right") - 1
-        inside = start + n <= self.first[doc + 1]
-        self.hashes = []
-        for h, step in ((low, 0x9E3779B97F4A7C15), (high, 0xD6E8FEB86659FD93)):
-            x, total = h[code], np.zeros(m, dtype=np.uint64)
-            for j in range(n):
-                total = total * np.uint64(step) + x[j : j + m]
-            total ^= total >> np.uint64(29)
-            total *= np.uint64(0xBF58476D1CE4E5B9)
-            total ^= total >> np.uint64(32)
-            self.hashes.append(total[inside])
-        self.doc, self.at = doc[inside], start[inside]
+        self.words = Words([(texts[int(k)].as_py() or "").encode() for k in self.order])
+        self.first = self.words.first
+        self.at, self.hashes = self.words.windows(n)
+        self.doc = np.searchsorted(self.first, self.at, side="right") - 1
         self.start = self.at - self.first[self.doc]
-        #: First window of the block with the same hash.
-        self.same, _ = pd.factorize(self.hashes[0])
-        self.earliest = np.zeros(self.same.max() + 1 if len(self.same) else 0, dtype=np.int64)
-        self.earliest[self.same[::-1]] = np.arange(len(self.same))[::-1]
+        #: First window of the block with the same words, told apart by both hashes.
+        self.same = self.number(self.hashes[0])
+        if len(self.same) and (self.hashes[1] != self.hashes[1][self.earliest][self.same]).any():
+            both = np.stack([self.same, self.number(self.hashes[1])])
+            self.same = self.number(both[0] << 32 | both[1])
+
+    def number(self, key: np.ndarray) -> np.ndarray:
+        """Numbers of equal keys in the order of their first places, which go to `earliest`."""
+        same, _ = pd.factorize(key)
+        self.earliest = np.zeros(same.max() + 1 if len(same) else 0, dtype=np.int64)
+        self.earliest[same[::-1]] = np.arange(len(same))[::-1]
+        return same
 
     def cells(self, row: int, bits: int) -> np.ndarray:
         return (self.hashes[0][self.earliest] * np.uint64(ROWS[row])) >> np.uint64(64 - bits)
 
 
-def repeated_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = 20, per_block: int = 8 << 20) -> DataFrame:
-    """Rows (id, text, n_words, n_removed, kept): the words of each document outside windows that occur before.
+def repeated_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", window: int = 20, carry: tuple[str, ...] = (), original: bool = False, per_block: int = 8 << 20) -> DataFrame:
+    """Rows (id, n_words, n_removed, kept, *carry): the words of each document outside windows that occur before.
 
     A window is `window` consecutive words; one whose words also start earlier (in a smaller id, or earlier in the same document)
     is removed from the document, whatever else is removed. Documents are dealt to blocks of about `per_block` bytes by the
@@ -79,20 +74,24 @@ def repeated_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     1. A block sends the cells that its windows hit in a count-min sketch of two rows, each about as many cells
        as the texts have bytes. The sketches are merged segment by segment, and each block learns which of its cells are
        hit more than once. The counts can only be too high, so every repeated window passes.
-    2. A block sends the windows that pass by 128 bits of hash (96 in the message, the rest in its
-       address and the block), each once with its earliest place. They are grouped exactly, and each block learns which of its
+    2. A block sends the windows that pass by 96 bits of hash and the shard that further bits choose (inside a block
+       128 bits tell windows apart), each once with its earliest place. They are grouped exactly, and each block learns which of its
        windows start earlier elsewhere.
     3. A block removes those and its own repeats.
 
     Messages hold one entry per block and window, so a passage that many documents share is a row per block, not
     per document. A null text has no words; texts shorter than a window keep all; a null id counts as
-    the smallest; rows that repeat an id are the same document's place, so neither precedes the other. Empty tables give no rows.
+    the smallest, and such rows are dealt by their text; rows that repeat an id, or have none, are the same document's place, so of
+    them only an earlier start precedes. Each row gives one, with its columns `carry` as they are, whatever their names. kept has one space
+    between words, but with `original` a text that loses nothing is returned as it was. Empty tables give no rows.
     """
     total, n = blocks_for(docs, text, per_block)
     bits = max(16, int(total).bit_length())
     segment = min(SEGMENT_BITS, bits)
     shards = max(1, n // 4)
-    d = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), block_of(id, n).alias("block")).repartition("block")
+    carried = [F.col(c).alias(f"carry_{c}") for c in carry]
+    d = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), *carried).withColumn("block", block_of("id", n, "text")).repartition("block")
+    fields = "".join(f", `carry_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def ask(table: pa.Table) -> pa.Table:
         w = Windows(table, window)
@@ -158,11 +157,12 @@ def repeated_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
         new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         head = np.nonzero(new)[0][np.cumsum(new) - 1]
         later = (ids > ids[head]) | (start > start[head])
-        low, block = low[later], block[later]
+        low, high, block = low[later], high[later], block[later]
         order = np.argsort(block, kind="stable")
-        block, low = block[order], low[order]
+        block, low, high = block[order], low[order], high[order]
         names = np.unique(block)
-        return pa.table({"block": pa.array(names, pa.int32()), "later": pa.array([low[slice(*np.searchsorted(block, (k, k + 1)))].tobytes() for k in names], pa.binary())})
+        of = lambda x, k: x[slice(*np.searchsorted(block, (k, k + 1)))].tobytes()
+        return pa.table({"block": pa.array(names, pa.int32()), "low": pa.array([of(low, k) for k in names], pa.binary()), "high": pa.array([of(high, k) for k in names], pa.binary())})
 
     def strip(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -170,29 +170,35 @@ def repeated_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
         w = Windows(table, window)
         gone = np.zeros(len(w.same), dtype=bool)
         if len(gone):
-            later = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in answers.column("later")]) if answers.num_rows else np.empty(0, dtype=np.uint64)
             head = w.earliest[w.same]
             gone = (w.ids[w.doc] > w.ids[w.doc[head]]) | (w.start > w.start[head])
-            gone |= np.isin(w.hashes[0][w.earliest], later)[w.same]
+            if answers.num_rows:
+                low, high = (np.concatenate([np.frombuffer(x.as_py(), dtype=k) for x in answers.column(c)]) for c, k in (("low", np.uint64), ("high", np.uint32)))
+                own_low, own_high = w.hashes[0][w.earliest], (w.hashes[1][w.earliest] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                gone |= (np.isin(own_low, low) & np.isin(joined(own_low, own_high), joined(low, high)))[w.same]
         cover = np.zeros(int(w.first[-1]) + 1, dtype=np.int64)
         np.add.at(cover, w.at[gone], 1)
         np.add.at(cover, w.at[gone] + window, -1)
         cover = np.cumsum(cover) > 0
-        out = {"id": [], "n_words": [], "n_removed": [], "kept": []}
-        for k, words in enumerate(w.words):
-            c = cover[w.first[k] : w.first[k + 1]]
-            kept = [x for x, off in zip(words, c.tolist()) if not off] if c.any() else words
-            missing = bool(w.null[w.order[k]])
-            for name, v in zip(out, (None if missing else int(w.ids[k]), len(words), len(words) - len(kept), b" ".join(kept).decode())):
-                out[name].append(v)
-        return pa.table(out, schema=kept_schema)
-
-    kept_schema = pa.schema({"id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()})
+        cover = cover[:-1]
+        removed = np.add.reduceat(np.append(cover, False).astype(np.int64), w.first[:-1]) * (w.words.counts > 0)
+        kept = []
+        for k, raw in enumerate(w.words.texts):
+            if removed[k]:
+                at = w.first[k] + np.nonzero(~cover[w.first[k] : w.first[k + 1]])[0]
+                kept.append(b" ".join([raw[a:b] for a, b in zip(w.words.start[at].tolist(), w.words.end[at].tolist())]).decode())
+            else:
+                kept.append((raw if original else b" ".join(raw.split())).decode())
+        ids = pa.array(w.ids, mask=w.null[w.order])
+        rest = table.take(pa.array(w.order)) if carry else table
+        return pa.table([ids, pa.array(w.words.counts), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *(rest.column(f"carry_{c}") for c in carry)], schema=kept_schema)
+
+    kept_schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), *to_arrow_schema(d.select(*[f"carry_{c}" for c in carry]).schema)])
     cells = d.groupBy("block").applyInArrow(ask, "block int, line int, segment long, cells binary")
     hits = cells.groupBy("line", "segment").applyInArrow(merge, "block int, line int, segment long, hit binary")
     sent = d.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(send, "block int, shard int, low binary, high binary, id binary, start binary")
-    later = sent.groupBy("shard").applyInArrow(group, "block int, later binary")
-    return d.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(strip, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id)
+    later = sent.groupBy("shard").applyInArrow(group, "block int, low binary, high binary")
+    return d.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(strip, f"id long, n_words long, n_removed long, kept string{fields}").select(F.col("id").alias(id), "n_words", "n_removed", "kept", *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:
