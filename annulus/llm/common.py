@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,14 @@ def block_of(key: str, n: int, text: str | None = None):
     return F.pmod(h, F.lit(n)).cast("int")
 
 
+def squeeze_bytes(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(raw)
+
+
+def unsqueeze_bytes(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
 def squeeze(x: np.ndarray) -> bytes:
     """Bytes of 64-bit numbers, all lowest bytes first, compressed."""
     return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes())
@@ -160,6 +169,16 @@ class Words:
         return at, out
 
 
+def portions(batch: pa.RecordBatch, text: str, size: int = 2 << 20):
+    """Slices of a batch whose texts hold about `size` bytes each, at least one row."""
+    bytes_of = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(bytes_of, (bytes_of[at - 1] if at else 0) + size, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the pairs (a, b)."""
     label = np.arange(n)

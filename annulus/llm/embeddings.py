@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from .common import components, cut, forest
 
 
-def rows_of(column) -> list[np.ndarray | None]:
-    """The vectors of an Arrow list column in double precision, None where one is null or has a null component."""
+def rows_of(column, kind: str) -> list[np.ndarray | None]:
+    """The vectors of an Arrow list column in the precision `kind`, None where one is null or has a null component."""
     out = []
     for v in column:
         values = v.values
-        out.append(None if values is None or values.null_count else values.to_numpy(zero_copy_only=False).astype(np.float64))
+        out.append(None if values is None or values.null_count else values.to_numpy(zero_copy_only=False).astype(kind))
     return out
 
 
@@ -25,24 +26,33 @@ def planes_of(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits))
 
 
-def units_of(column, at: np.ndarray) -> np.ndarray:
-    """The unit vectors at the given rows, which all have the same length."""
-    return np.stack([np.frombuffer(column[int(k)].as_py(), dtype=np.float64) for k in at])
+def units_of(column, at: np.ndarray, kind: str) -> np.ndarray:
+    """The unit vectors, in double precision, of those stored at the given rows, which all have the same length."""
+    x = np.frombuffer(b"".join(column.take(pa.array(at)).to_pylist()), dtype=kind).reshape(len(at), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def passes_for(n: int, window: int, miss: float) -> int:
+    """Passes after which two vectors at cosine 0.98 of n have not met with a chance of `miss` at most; a sign of theirs differs with probability 0.064."""
+    meet = 0.936 ** max(0.0, math.log2(max(n, 1) / window))
+    return max(1, math.ceil(math.log(miss) / math.log(1 - meet))) if meet < 1 - miss else 1
 
 
 def near_vectors(
     vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98,
-    passes: int = 16, window: int = 32, bits: int = 64, seed: int = 42, tile: int = 1024, per_group: int = 20_000,
+    passes: int | None = None, miss: float = 1e-3, window: int = 64, bits: int = 64, seed: int = 42, tile: int = 1024, per_group: int = 20_000,
 ) -> DataFrame:
     """Rows (id, n_links, component_id, kept) of vectors linked by cosine >= `least` under equal labels.
 
-    Equal vectors of one label form a class, which is compared once. Each of `passes` passes gives a class a key, the signs of `bits`
+    Equal vectors of one label form a class, which is compared once. Each pass gives a class a key, the signs of `bits`
     random projections in order, and sorts the classes of a label by it; each is compared with the `window` next ones
     of its range in double precision. The verified links of all passes are united into components. The window bounds the work of a
     pass, not the links: within a component all pairs are then compared exactly in squares of `tile`
     classes, which count the links of every member and return no pairs. What can be missed is a component that no pass joins: at a cosine of 0.98
-    a sign differs with probability 0.064, so two vectors of a label with 2**20 others meet within a
-    window with a chance of 0.37 in a pass and 0.999 in sixteen.
+    a sign differs with probability 0.064, so two vectors of a label with n others meet within a window in a pass with a chance of 0.936 ** log2(n / window);
+    `passes` is chosen from the largest label so that two such vectors are missed with a chance of `miss` at most (5,000: 7 passes; 2**20: 14; 4e7: 22).
+    Passes carry the vectors in their own precision and compare in double.
 
     Vectors that are null, zero or hold null or non-finite components, and vectors with a null label, link with
     nothing: n_links 0, component_id their own id, kept. Vectors of different lengths do not link. Each input row
@@ -52,17 +62,19 @@ def near_vectors(
     def prepare(batches):
         for b in batches:
             ids, labels, digests, units, dims = b.column("id").to_pylist(), b.column("label").to_pylist(), [], [], []
-            for x, lab in zip(rows_of(b.column("vector")), labels):
+            for raw, lab in zip(rows_of(b.column("vector"), store), labels):
+                x = None if raw is None else raw.astype(np.float64)
                 norm = 0.0 if x is None or not len(x) or not np.isfinite(x).all() else float(np.linalg.norm(x / max(np.abs(x).max(), 1e-300)))
                 if lab is None or norm == 0.0:
                     digests.append(None), units.append(None), dims.append(None)
                     continue
                 x = (x + 0.0) / np.abs(x).max()  # + 0.0: no negative zeros
                 digests.append(hashlib.blake2b(repr(lab).encode() + b"\0" + x.tobytes(), digest_size=16).digest())
-                units.append((x / norm).tobytes())
+                units.append(raw.tobytes())
                 dims.append(len(x))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, b.column("label").type), pa.array(dims, pa.int32()), pa.array(digests, pa.binary()), pa.array(units, pa.binary())], names=["id", "label", "dim", "digest", "unit"])
 
+    store = "<f4" if vectors.schema[vector].dataType.elementType.typeName() == "float" else "<f8"
     kind = vectors.schema[label].dataType.simpleString()
     v = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector"), F.col(label).alias("label"))
     v = cut(v.mapInArrow(prepare, f"id long, label {kind}, dim int, digest binary, unit binary"))
@@ -75,7 +87,7 @@ def near_vectors(
             dim = b.column("dim").to_numpy()
             for d in np.unique(dim):
                 at = np.nonzero(dim == d)[0]
-                x = units_of(b.column("unit"), at)
+                x = units_of(b.column("unit"), at, store)
                 sign = (x @ planes_of(int(d), passes, bits, seed) > 0).reshape(len(at), passes, bits)
                 packed = np.packbits(sign, axis=2)
                 sub = b.take(pa.array(at))
@@ -98,7 +110,7 @@ def near_vectors(
             pairs = [np.empty((2, 0), dtype=np.int64)]
             for g in range(len(code)):
                 at = np.nonzero(group == g)[0]
-                x = units_of(units, at)
+                x = units_of(units, at, store)
                 for s in range(1, min(window + 1, len(at))):
                     hit = np.nonzero((np.einsum("ij,ij->i", x[s:], x[:-s]) >= least) & (at[s:] >= old))[0]
                     pairs.append(np.stack([at[hit], at[hit + s]]))
@@ -108,6 +120,8 @@ def near_vectors(
             yield pa.RecordBatch.from_arrays([pa.array(cls[k]), pa.array(cls[root[k]])], names=["a", "b"])
             tail = t.slice(max(0, t.num_rows - window))
 
+    if passes is None:
+        passes = passes_for(classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1, window, miss)
     n = classes.count()
     ranges = max(1, n * passes // 50_000)
     spread = classes.select("label", "dim", "cls", "unit").mapInArrow(keys, f"pass int, label {kind}, dim int, key binary, cls long, unit binary")
@@ -137,7 +151,7 @@ def near_vectors(
             a, b = at[is_left[at]], at[~is_left[at]]
             if not len(a) or not len(b):
                 continue
-            hit = units_of(units, a) @ units_of(units, b).T >= least
+            hit = units_of(units, a, store) @ units_of(units, b, store).T >= least
             hit &= cls[a][:, None] != cls[b][None, :]
             names.append(cls[a])
             counts.append(hit @ copies[b])

@@ -3,24 +3,42 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+#: What can end a tag, or open a quoted value in it.
+INSIDE = re.compile(r">|=\s*[\"']")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 # Element names of HTML.
 RAW = frozenset("script style noscript template textarea title iframe object svg math select".split())
+#: Of these, elements that a closing slash in the tag does not end.
+WHOLE = frozenset("title select textarea iframe".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 AWAY = frozenset("nav footer header aside form head menu button dialog".split())
 MAIN = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that name boilerplate.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
+#: Names of boilerplate in a class, id or role, and words that may stand beside them in a compound such as `cookie-banner-inner`.
+NAMES = re.compile(r"ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget")
+BESIDE = re.compile(r"\d*|area|articles|bar|block|body|bottom|box|buttons?|cell|col|column|container|content|form|frame|global|group|icons?|inner|item|items|left|line|links?|list|main|outer|page|panel|posts?|primary|right|row|secondary|section|site|slot|text|top|unit|wrap|wrapper|zone")
+
+
+def boilerplate(names: str) -> bool:
+    """Whether a whole word of a class, id or role is a name of boilerplate, or a compound of such with words that tell nothing."""
+    for word in names.strip("\"'").lower().split():
+        parts = re.split("[_-]+", word)
+        if any(NAMES.fullmatch(p) for p in parts) and all(NAMES.fullmatch(p) or BESIDE.fullmatch(p) for p in parts):
+            return True
+    return False
+
+
 # Frequent words of English, German, French and Spanish.
 STOP = frozenset(
     "a an and are as at be by for from had has have he her his i in is it not of on or she that the their they this to was were which with you "
@@ -32,12 +50,63 @@ STOP = frozenset(
 GOOD, BAD, SHORT = 1, -1, 0
 
 
+def tokens(html: str):
+    """(text, name, closing, attributes) of each run of text and each tag, in one pass that never looks at a character more than a few times.
+
+    Comments, declarations, instructions and what `RAW` elements hold are left out. A `<` that begins none of these is text. A tag ends at the first `>` outside quoted values; a quote that never closes
+    quotes nothing. A comment that never ends takes the rest of the page, and so does a tag, declaration or instruction.
+    """
+    at, end, open_quotes = 0, len(html), {}
+    while at < end:
+        lt = html.find("<", at)
+        if lt != at:
+            yield html[at : lt if lt >= 0 else end], "", False, ""
+            if lt < 0:
+                return
+        if html.startswith("<!--", lt):
+            stop = html.find("-->", lt + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        if html.startswith(("<!", "<?"), lt):
+            stop = html.find(">", lt)
+            at = stop + 1 if stop >= 0 else end
+            continue
+        m = NAME.match(html, lt + 1)
+        if m is None:
+            yield "<", "", False, ""
+            at = lt + 1
+            continue
+        k = m.end()
+        while True:
+            stop = INSIDE.search(html, k)
+            if stop is None:
+                return
+            if stop[0] == ">":
+                break
+            k = stop.end()
+            if not open_quotes.get(stop[0][-1]):
+                close = html.find(stop[0][-1], k)
+                open_quotes[stop[0][-1]] = close < 0
+                k = close + 1 if close >= 0 else k
+        at = stop.end()
+        name, attributes = m[0].lstrip("/").lower(), html[m.end() : stop.start()]
+        yield "", name, m[0][0] == "/", attributes
+        if name in RAW and m[0][0] != "/" and (name in WHOLE or not attributes.rstrip().endswith("/")):
+            stop = after(name).search(html, at)
+            at = stop.end() if stop else end
+
+
+@lru_cache(maxsize=64)
+def after(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
 def blocks(html: str) -> list[tuple[str, int, int, int]]:
     """(text, characters inside links, place, heading) of each block in page order; place is 1 in an article, -1 in boilerplate, else 0."""
     out, text, links = [], [], 0
     stack: list[tuple[str, int]] = []  # open block elements and links, with the place inside them
-    in_link, at, end = 0, 0, len(html)
-    heading = 0
+    in_link = heading = 0
+    opened: Counter[str] = Counter()
 
     def close():
         nonlocal text, links
@@ -46,27 +115,17 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
             out.append((line, min(links, len(line)), stack[-1][1] if stack else 0, heading))
         text, links = [], 0
 
-    while at < end:
-        m = TOKEN.match(html, at)
-        if m is None:  # a tag that never ends
-            break
-        at = m.end()
-        if m[4] is not None:
-            text.append(m[4])
-            if in_link:
-                links += len(m[4])
-            continue
-        name = (m[2] or "").lower()
+    for run, name, closing, attributes in tokens(html):
         if not name:
+            text.append(run)
+            if in_link:
+                links += len(run)
             continue
-        if name in RAW and not m[1]:
-            if name in ("title", "select", "textarea", "iframe") or not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = stop.end() if stop else end
+        if name in RAW and not closing:
             text.append(" ")
             continue
         if name == "a":
-            in_link = 0 if m[1] else 1
+            in_link = 0 if closing else 1
             continue
         if name == "br":
             text.append(" ")
@@ -74,21 +133,22 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
         if name not in BLOCK and name not in AWAY:
             continue
         close()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+        if closing:
+            while opened[name]:
+                opened[stack[-1][0]] -= 1
+                if stack.pop()[0] == name:
                     break
             heading = 0
         elif name not in VOID:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option", *HEADING) and stack and stack[-1][0] in ("p", name):
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             place = stack[-1][1] if stack else 0
-            if name in AWAY and not (name == "header" and place == GOOD) or any(NAMES.search(v.strip("\"'")) for v in ATTRIBUTE.findall(m[3])):
+            if name in AWAY and not (name == "header" and place == GOOD) or any(map(boilerplate, ATTRIBUTE.findall(attributes))):
                 place = BAD
             elif name in MAIN and place != BAD:
                 place = GOOD
             stack.append((name, place))
+            opened[name] += 1
             heading = int(name in HEADING)
     close()
     return out
@@ -96,14 +156,12 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
 
 def first_pass(text: str, link_chars: int, place: int, *, long: int = 140, short: int = 60, dense: float = 0.3, sparse: float = 0.15, most_links: float = 0.33) -> int:
     """A block's own class: good, bad, or short and so far undecided."""
-    if place == BAD:
-        return BAD
+    if place:
+        return place
     if link_chars > most_links * len(text):
         return BAD
     words = [w.strip(".,;:!?()\"'«»").lower() for w in text.split()]
     density = sum(w in STOP for w in words) / len(words)
-    if place == GOOD:
-        return GOOD
     if len(text) < short or density < dense and len(text) < long:
         return SHORT
     return GOOD if density >= sparse else BAD

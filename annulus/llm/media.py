@@ -23,6 +23,8 @@ WIDTH = UNIT
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and the whole first chunk, which holds the size and the kind of samples.
 HEADER_BYTES = 33
+#: Bytes of a data chunk at most; the format allows 2**31 - 1.
+MOST = 1 << 30
 
 
 def payload_of(text: str | None) -> bytes:
@@ -38,7 +40,8 @@ def png_of(samples: bytes) -> bytes:
     """The samples as a grey PNG image, 8 bits each, one unit a row; lossless and compressed."""
     rows = np.frombuffer(samples, dtype=np.uint8).reshape(-1, WIDTH)
     plain = np.concatenate([np.zeros((len(rows), 1), dtype=np.uint8), rows], axis=1).tobytes()  # filter 0 before each row
-    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(plain, 1)) + chunk(b"IEND", b"")
+    packed = zlib.compress(plain, 1)
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)) + b"".join(chunk(b"IDAT", packed[k : k + MOST]) for k in range(0, len(packed), MOST)) + chunk(b"IEND", b"")
 
 
 def header_of(raw: bytes) -> dict:
@@ -50,8 +53,12 @@ def header_of(raw: bytes) -> dict:
 
 def samples_of(media: bytes) -> bytes:
     """The samples of an image that `png_of` made."""
-    (length,) = struct.unpack(">I", media[HEADER_BYTES : HEADER_BYTES + 4])
-    plain = zlib.decompress(media[HEADER_BYTES + 8 : HEADER_BYTES + 8 + length])
+    parts, at = [], HEADER_BYTES
+    while media[at + 4 : at + 8] == b"IDAT":
+        (length,) = struct.unpack(">I", media[at : at + 4])
+        parts.append(media[at + 8 : at + 8 + length])
+        at += length + 12
+    plain = zlib.decompress(b"".join(parts))
     return np.frombuffer(plain, dtype=np.uint8).reshape(-1, header_of(media)["width"] + 1)[:, 1:].tobytes()
 
 
@@ -74,10 +81,10 @@ def store(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str = "text
 
     Each task writes the texts it reads into shards of about `shard_bytes`, each payload once per shard under
     its SHA-256, and closes a shard before it reads back: headers by range reads of 33 bytes at the recorded
-    offsets, then the samples. A shard's name is new in every attempt, so a repeated task leaves an unused
-    shard behind and never touches one that rows point to. Rows of a lost attempt are computed again from the
-    input. Equal texts give equal values in all columns but shard and offset. A null or empty text is stored
-    as one unit of spaces. `folder` is any location that pyarrow's file systems open; all tasks and
+    offsets, then the samples. A shard is named by the digests it holds, written under a new name and then renamed; one that is there
+    already is not written again. So a repeated, speculative or lost task, or a second action on the result, ends with the same shards and the same rows,
+    as long as the input is read in the same partitions; a task that dies leaves at most a file whose name begins with a dot. Equal texts give equal values in all columns but shard and offset. A null or empty text is stored
+    as one unit of spaces; repeated rows and null ids each get their row; an empty table writes no shard. `folder` is any location that pyarrow's file systems open; all tasks and
     readers must share it.
     """
     fields = "id long, " + STORED
@@ -88,9 +95,10 @@ def store(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str = "text
         fs.create_dir(base, recursive=True)
 
         def shard(rows):
-            name = f"{base}/{uuid.uuid4().hex}.tar"
+            name = f"{base}/{hashlib.sha256(''.join(dict.fromkeys(digest for *_, digest in rows)).encode()).hexdigest()}.tar"
+            new = f"{base}/.{uuid.uuid4().hex}"
             places: dict[str, tuple[int, int]] = {}
-            with fs.open_output_stream(name) as out:
+            with fs.open_output_stream(new) as out:
                 at = 0
                 for _, _, payload, digest in rows:
                     if digest in places:
@@ -104,6 +112,10 @@ def store(docs: DataFrame, folder: str, *, id: str = "doc_id", text: str = "text
                     places[digest] = (at + len(head), len(media))
                     at += len(head) + len(media) + pad
                 out.write(b"\0" * (2 * tarfile.BLOCKSIZE))
+            if fs.get_file_info(name).type == pafs.FileType.NotFound:
+                fs.move(new, name)
+            else:
+                fs.delete_file(new)
             found: dict[str, dict] = {}
             with fs.open_input_file(name) as f:
                 for digest, (offset, length) in places.items():

@@ -57,93 +57,91 @@ def pieces(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(value: np.ndarray, size: int) -> tuple[np.ndarray, float]:
-    """Best configuration for values per length: an unbounded knapsack by dynamic programming over capacities."""
-    best, choice = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
-    lengths = np.arange(1, size + 1)
+def knapsack(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, first length) of the best configuration of each capacity, by dynamic programming; of equals the one with the longest piece."""
+    have = np.nonzero(value > 0)[0][::-1]
+    fits = np.searchsorted(-have, -np.arange(size + 1))
+    best, first = np.zeros(size + 1), np.zeros(size + 1, dtype=np.int64)
     for c in range(1, size + 1):
-        gains = value[:c] + best[c - lengths[:c]]
-        k = int(np.argmax(gains))
-        best[c], choice[c] = gains[k], k + 1
-    counts, c = np.zeros(size + 1, dtype=np.int64), size
-    while c > 0 and choice[c] and best[c] > 0:
-        counts[choice[c]] += 1
-        c -= choice[c]
-    return counts, float(best[size])
-
-
-def fit_rest(count: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
-    """Best-fit decreasing on a histogram: configurations with how often each is used, covering all of `count`."""
-    count, out = count.copy(), []
-    while count.any():
-        first = int(np.nonzero(count)[0][-1])
-        config, room = np.zeros(size + 1, dtype=np.int64), size
-        left = count.copy()
-        ell = first
-        while room > 0:
-            fits = np.nonzero(left[: min(room, ell) + 1])[0]
-            if not len(fits):
-                break
-            ell = int(fits[-1])
-            n = min(int(left[ell]), room // ell)
-            config[ell] += n
-            left[ell] -= n
-            room -= n * ell
-        used = np.nonzero(config)[0]
-        times = int((count[used] // config[used]).min())
-        count[used] -= times * config[used]
-        out.append((config, times))
+        k = fits[c]
+        if k < len(have):
+            gains = value[have[k:]] + best[c - have[k:]]
+            i = int(gains.argmax())
+            best[c], first[c] = gains[i], have[k + i]
+    return best, first
+
+
+def with_piece(length: int, first: np.ndarray, size: int) -> list[int]:
+    """The best configuration that holds a piece of this length."""
+    out, room = [length], size - length
+    while room > 0 and first[room]:
+        out.append(int(first[room]))
+        room -= out[-1]
     return out
 
 
-def plan(count: np.ndarray, size: int, *, rounds: int = 300, rate: float = 0.5) -> list[tuple[np.ndarray, int]]:
+def prices(count: np.ndarray, size: int, *, rounds: int = 24, rate: float = 0.005, power: float = 1.05) -> tuple[np.ndarray, float]:
+    """(price of each length, lower bound of the number of sequences) by multiplicative weights.
+
+    The linear program is: least total of configurations such that each length is covered; its dual: prices of the lengths such that no
+    configuration costs more than 1. A round prices configurations by a knapsack, covers each length in demand by the best one that holds it,
+    and lowers the prices of lengths that are covered beyond their share. Prices start a little steeper than the lengths, as
+    long pieces are harder to place. The mean of the rounds' prices, each scaled to be feasible, is the solution of the dual.
+    """
+    need = np.nonzero(count)[0]
+    demand = (count[need] * need).astype(float)
+    weight, total = power * np.log(need / size), np.zeros(size + 1)
+    for _ in range(rounds):
+        y = np.zeros(size + 1)
+        y[need] = np.exp(weight)
+        best, first = knapsack(y, size)
+        total += y / best[size]
+        covered = np.zeros(size + 1)
+        for ell in need.tolist():
+            for k in with_piece(ell, first, size):
+                covered[k] += count[ell]
+        share = covered[need] * need
+        weight -= rate * np.clip(share / share.sum() / (demand / demand.sum()) - 1, -1, 1)
+    y = total / rounds
+    return y, float((count * y).sum() / knapsack(y, size)[0][size])
+
+
+def plan(count: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
     """Configurations and their numbers that hold `count[l]` pieces of each length l, in few sequences.
 
-    The linear program is: least total of configurations such that each length is covered. Multiplicative
-    weights keep a price per length; each round prices the best configuration by knapsack, adds it, and
-    lowers the prices of what it covers in proportion to the demand. The average over rounds, scaled to the tokens there are,
-    is rounded down; best-fit decreasing places what rounding leaves. All of it
-    works on `size` numbers, whatever the number of documents. Of that solution and best-fit alone the one with fewer
-    sequences is kept.
+    The configuration program is solved for prices (`prices`) and rounded by diving: the best configuration at those prices that holds the longest piece left
+    is taken the greatest whole number of times that the pieces left allow, until none is left. A knapsack is solved again when a length it
+    uses has run out, so each step is a column that the program prices, in whole numbers. All of it
+    works on `size` numbers, whatever the number of documents.
     """
     whole = np.zeros(size + 1, dtype=np.int64)
     whole[size] = 1
-    full, rest = int(count[size]), count.copy()
-    rest[size] = 0
+    full, left = int(count[size]), count.copy()
+    left[size] = 0
     out = [(whole, full)] if full else []
-    need = np.nonzero(rest)[0]
-    if not len(need):
+    if not left.any():
         return out
-    demand = rest.astype(float)
-    log_y = np.zeros(size + 1)
-    used: dict[bytes, list] = {}
-    for _ in range(rounds):
-        y = np.zeros(size + 1)
-        y[need] = np.exp(log_y[need] - log_y[need].max()) * need / demand[need]
-        config, _ = price(y[1:], size)
-        config[rest == 0] = 0
-        if not config.any():
-            break
-        held = np.nonzero(config)[0]
-        step = (demand[held] / config[held]).min()  # as much of it as the scarcest length allows
-        cover = np.zeros(size + 1)
-        cover[held] = config[held] * step / demand[held]
-        log_y -= rate * cover
-        used.setdefault(config.tobytes(), [config, 0.0])[1] += step
-    total = np.zeros(size + 1)
-    for config, x in used.values():
-        total += config * x
-    left, rounded = rest.copy(), []
-    scale = float((demand * np.arange(size + 1)).sum() / max((total * np.arange(size + 1)).sum(), 1e-9))
-    for config, x in sorted(used.values(), key=lambda u: -u[1]):
-        held = np.nonzero(config)[0]
-        n = min(int(x * scale), int((left[held] // config[held]).min()))
-        if n:
-            left[held] -= n * config[held]
-            rounded.append((config, n))
-    rounded += fit_rest(left, size)
-    plain = fit_rest(rest, size)
-    return out + min(rounded, plain, key=lambda p: sum(n for _, n in p))
+    y, _ = prices(left, size)
+    first = None
+    while left.any():
+        longest = int(np.nonzero(left)[0][-1])
+        held = with_piece(longest, first, size) if first is not None else None
+        if held is None or (left[held] == 0).any():
+            first = knapsack(np.where(left > 0, y, 0.0), size)[1]
+            held = with_piece(longest, first, size)
+        config = np.minimum(np.bincount(held, minlength=size + 1), left)
+        room = size - int((config * np.arange(size + 1)).sum())
+        while room > 0:  # a length asked for more often than there are pieces leaves room
+            fits = np.nonzero(left[: room + 1] > config[: room + 1])[0]
+            if not len(fits):
+                break
+            config[fits[-1]] += 1
+            room -= int(fits[-1])
+        used = np.nonzero(config)[0]
+        times = int((left[used] // config[used]).min())
+        left[used] -= times * config[used]
+        out.append((config, times))
+    return out
 
 
 def places(solution: list[tuple[np.ndarray, int]], size: int) -> dict[int, tuple[np.ndarray, ...]]:
@@ -161,20 +159,20 @@ def places(solution: list[tuple[np.ndarray, int]], size: int) -> dict[int, tuple
     return {ell: tuple(np.array(c, dtype=np.int64) for c in zip(*r)) for ell, r in runs.items()}
 
 
-def pack(cut_pieces: DataFrame, *, size: int = 1024, slices: int = 256) -> DataFrame:
+def pack(cut_pieces: DataFrame, *, size: int = 1024, per_slice: int = 50_000) -> DataFrame:
     """`cut_pieces` (id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     The histogram of lengths (at most `size` rows) goes to the driver, the plan comes back as a table of ranks,
     and each piece finds its place from its rank among the pieces of its length. Ranks come from counts per
-    (length, slice of the id's hash) and a window inside each, so a length that most pieces share is spread.
-    Repeated rows are packed once each. An empty table gives none.
+    (length, slice of the row's hash) and a window inside each; a slice holds about `per_slice` pieces of the
+    commonest length, so a length that most pieces share is spread at any size.
+    Repeated rows and rows with a null id are packed once each. An empty table gives none.
     """
-    slot = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(slices)).cast("int")
-    p = cut_pieces.withColumn("slice", slot)
-    found = p.groupBy("length").count().collect()
     count = np.zeros(size + 1, dtype=np.int64)
-    for r in found:
+    for r in cut_pieces.groupBy("length").count().collect():
         count[r["length"]] = r["count"]
+    slices = int(count.max()) // per_slice + 1
+    p = cut_pieces.withColumn("slice", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32"), F.lit(slices)).cast("int"))
     where = places(plan(count, size), size)
     per = p.groupBy("length", "slice").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_of, blocks_for, cut, deal, undeal
+from .common import block_of, blocks_for, cut, deal, squeeze_bytes, undeal, unsqueeze_bytes
 
 #: Symbols of the model beside the characters of a text: before its start, after its end, and for a word that repeats the one before.
 START, END, AGAIN = "\ue000", "\ue001", "\ue002"
@@ -24,7 +24,8 @@ class Grams:
     def __init__(self, texts, order: int):
         lines = []
         for t in texts:
-            words = (t or "").translate(FOREIGN).split()
+            t = t or ""
+            words = (t.translate(FOREIGN) if START in t or END in t or AGAIN in t else t).split()
             marked = [" " + w if w != before else AGAIN for w, before in zip(words, ["", *words])]
             lines.append(START * (order - 1) + "".join(marked) + END)
         self.text = "".join(lines)
@@ -118,19 +119,19 @@ def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep:
         for k in range(shards):
             own = at[first[k] : first[k + 1]]
             if len(own):
-                grams = zlib.compress("".join([g.distinct[i] for i in own]).encode())
-                for name, v in zip(out, (key[0].as_py(), k, grams, zlib.compress(c[own].tobytes()))):
+                grams = squeeze_bytes("".join([g.distinct[i] for i in own]).encode())
+                for name, v in zip(out, (key[0].as_py(), k, grams, squeeze_bytes(c[own].tobytes()))):
                     out[name].append(v)
         return pa.table(out, schema=asked)
 
     def grams_of(message) -> list[str]:
-        line = zlib.decompress(message.as_py()).decode()
+        line = unsqueeze_bytes(message.as_py()).decode()
         return [line[i : i + order] for i in range(0, len(line), order)]
 
     def count(table: pa.Table) -> pa.Table:
         total: dict[str, int] = {}
         for grams, counts in zip(table.column("grams"), table.column("counts")):
-            for g, c in zip(grams_of(grams), np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.int64).tolist()):
+            for g, c in zip(grams_of(grams), np.frombuffer(unsqueeze_bytes(counts.as_py()), dtype=np.int64).tolist()):
                 total[g] = total.get(g, 0) + c
         return pa.table({"gram": pa.array(list(total), pa.string()), "c": pa.array(list(total.values()), pa.int64())})
 
@@ -159,7 +160,7 @@ def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep:
 
 def classify(
     docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4,
-    carry: tuple[str, ...] = (), held: int = 5, middle: float = 0.5, high: float = 0.9, reach: float = 8.0, least: int = 5, per_block: int = 8 << 20,
+    carry: tuple[str, ...] = (), held: int = 5, middle: float = 0.5, high: float = 0.9, reach: float = 8.0, least: int = 5, per_block: int = 4 << 20,
 ) -> DataFrame:
     """Rows (id, lang, *carry, n, perplexity, limit, kept): the perplexity of each whole text and whether it is within the limit of its language.
 

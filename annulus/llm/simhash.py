@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Words, components, cut, forest, mixed, powers
+from .common import BASES, Words, components, cut, forest, mixed, portions, powers
 
 #: Quarters of a fingerprint whose population counts name its tile.
 PARTS, WIDTH = 4, 16
@@ -148,12 +148,12 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
     a, b = (r.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
     def number(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in portions(b, text)):
             node = np.array([node_of(h) for h in shingle_sets(batch.column(text).to_pylist(), k)], dtype=np.uint64)
             yield batch.append_column("node", pa.array(node.view(np.int64)))
 
     def sign(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in portions(b, text)):
             node, size, bands, signature = [], [], [], []
             for h in shingle_sets(batch.column(text).to_pylist(), k):
                 node.append(node_of(h))
@@ -168,7 +168,7 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
             yield pa.RecordBatch.from_arrays([pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())], names=["node", "size", "bands", "signature"])
 
     def confirm(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in portions(b, "x")):
             x, y = (shingle_sets(batch.column(c).to_pylist(), k) for c in ("x", "y"))
             ok = []
             for p, q in zip(x, y):

@@ -35,7 +35,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
     one); a rule is filed under its host and its path up to the last `/`. Both are joined on the first
     `prefix` hexadecimal digits of a SHA-256; candidates are then confirmed by the full digest of that key and of the
     whole rule text. Null urls or urls without `://` have an empty host and path and get the default; repeated rows each get
-    their row back; columns of `pages` called host, path, rule or verdict are replaced; empty tables are fine.
+    their row back; columns of `pages` called host, path, rule or verdict are replaced, and others come back whatever their names; empty tables are fine.
+    Rules are joined by Spark's own size check: broadcast while they are few, else by a sorted join whose hot keys (all hosts under `com`) adaptive execution splits.
     """
     sep = F.lit("\n")  # in no key twice: hosts come first and a path starts with "/" or is empty
     rows = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
@@ -53,7 +54,9 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
     hit = keys.join(r, "short").where((F.col("digest") == F.col("r_digest")) & (begins == F.col("r_full")))
     rule = F.concat("r_host", "r_path")
     best = hit.groupBy("host", "path").agg(F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), (F.col("verdict") == "block").alias("b"), rule.alias("rule"), F.col("verdict").alias("verdict"))).alias("best"))
-    return rows.join(best, ["host", "path"], "left").withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.verdict", F.lit(default))).drop("best")
+    same = F.expr("r.host = b.host and r.path = b.path")
+    given = [F.col(f"r.`{c}`") for c in rows.columns]
+    return rows.alias("r").join(best.alias("b"), same, "left").select(*given, F.col("b.best.rule").alias("rule"), F.coalesce("b.best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:
