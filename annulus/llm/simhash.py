@@ -200,7 +200,8 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
     nodes = cut(docs.select(text).mapInArrow(sign, "node long, size int, bands array<long>, signature binary").dropDuplicates(["node"]))
-    rows = nodes.select("node", "size", "signature", F.explode("bands").alias("bucket"))
+    signatures = nodes.select("node", "signature")
+    rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     members = cut(rows.join(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket").withColumn("root", F.col("node")))
     numbered = docs.mapInArrow(number, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", node long")
     wanted = members.select("node").distinct()
@@ -213,10 +214,12 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
 
     edges = None
     for _ in range(2):
-        pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "size", "root", "signature")).alias("m")).select("bucket", *[F.col(f"m.{c}").alias(f"a_{c}") for c in ("node", "size", "root", "signature")])
+        pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "size", "root")).alias("m")).select("bucket", *[F.col(f"m.{c}").alias(f"a_{c}") for c in ("node", "size", "root")])
         pairs = members.join(pivots, "bucket").where((F.least("size", "a_size") >= least * F.greatest("size", "a_size")) & F.expr("node <> a_node and root <> a_root"))
-        pairs = pairs.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b"), "a_signature", F.col("signature").alias("b_signature"))
-        found = confirmed(pairs.mapInArrow(screen, "a long, b long"))
+        pairs = pairs.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b")).distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(signatures.select(F.col("node").alias(side), F.col("signature").alias(f"{side}_signature")), side)
+        found = confirmed(pairs.select("a", "b", "a_signature", "b_signature").mapInArrow(screen, "a long, b long"))
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
         rest = members.drop("root").join(pivots.select("bucket", "a_node"), "bucket").where("node <> a_node").drop("a_node")
@@ -226,7 +229,7 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
 
     per = members.groupBy("bucket", "root").count()
     main = per.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("all")).select("bucket", F.col("m.root").alias("main"), F.ceil((F.col("all") - F.col("m.count")) / tile).cast("int").alias("lefts"), F.ceil(F.col("all") / tile).cast("int").alias("rights"))
-    m = members.join(main, "bucket").withColumn("part", F.xxhash64("node"))
+    m = members.join(main, "bucket").join(signatures, "node").withColumn("part", F.xxhash64("node"))
     columns = ["bucket", "node", "size", "root", "signature"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = m.where("root <> main").select(*columns, F.lit(True).alias("left"), F.pmod("part", "lefts").cast("int").alias("i"), every("rights").alias("j"))
