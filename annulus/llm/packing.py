@@ -106,23 +106,13 @@ def prices(count: np.ndarray, size: int, *, rounds: int = 24, rate: float = 0.00
     return y, float((count * y).sum() / knapsack(y, size)[0][size])
 
 
-def plan(count: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations and their numbers that hold `count[l]` pieces of each length l, in few sequences.
+def dive(left: np.ndarray, y: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+    """Whole numbers of configurations that hold all pieces of `left`, priced by y.
 
-    The configuration program is solved for prices (`prices`) and rounded by diving: the best configuration at those prices that holds the longest piece left
-    is taken the greatest whole number of times that the pieces left allow, until none is left. A knapsack is solved again when a length it
-    uses has run out, so each step is a column that the program prices, in whole numbers. All of it
-    works on `size` numbers, whatever the number of documents.
+    The best configuration that holds the longest piece left is taken the greatest number of times that the pieces left allow, until none is left.
+    A knapsack is solved again when a length that it uses has run out.
     """
-    whole = np.zeros(size + 1, dtype=np.int64)
-    whole[size] = 1
-    full, left = int(count[size]), count.copy()
-    left[size] = 0
-    out = [(whole, full)] if full else []
-    if not left.any():
-        return out
-    y, _ = prices(left, size)
-    first = None
+    out, left, first = [], left.copy(), None
     while left.any():
         longest = int(np.nonzero(left)[0][-1])
         held = with_piece(longest, first, size) if first is not None else None
@@ -144,6 +134,30 @@ def plan(count: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
     return out
 
 
+def plan(count: np.ndarray, size: int, *, powers: tuple[float, ...] = (1.05, 1.1, 1.02)) -> list[tuple[np.ndarray, int]]:
+    """Configurations and their numbers that hold `count[l]` pieces of each length l, in few sequences.
+
+    The configuration program is solved for prices (`prices`) and rounded by diving (`dive`), from up to three starts of the weights until the
+    number of sequences is the least that the tokens allow; the fewest are kept. All of it
+    works on `size` numbers, whatever the number of documents.
+    """
+    whole = np.zeros(size + 1, dtype=np.int64)
+    whole[size] = 1
+    full, left = int(count[size]), count.copy()
+    left[size] = 0
+    out = [(whole, full)] if full else []
+    if not left.any():
+        return out
+    least, best = -(-int((left * np.arange(size + 1)).sum()) // size), None
+    for power in powers:
+        found = dive(left, prices(left, size, power=power)[0], size)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) == least:
+            break
+    return out + best
+
+
 def places(solution: list[tuple[np.ndarray, int]], size: int) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length the runs of ranks that one configuration holds: (first rank, per sequence, first sequence, offset)."""
     runs: dict[int, list] = {}

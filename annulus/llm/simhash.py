@@ -213,7 +213,7 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
         return cut(near.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
 
     edges = None
-    for _ in range(2):
+    for last in (False, True):
         pivots = members.groupBy("bucket").agg(F.min(F.struct("node", "size", "root")).alias("m")).select("bucket", *[F.col(f"m.{c}").alias(f"a_{c}") for c in ("node", "size", "root")])
         pairs = members.join(pivots, "bucket").where((F.least("size", "a_size") >= least * F.greatest("size", "a_size")) & F.expr("node <> a_node and root <> a_root"))
         pairs = pairs.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b")).distinct()
@@ -221,9 +221,10 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
             pairs = pairs.join(signatures.select(F.col("node").alias(side), F.col("signature").alias(f"{side}_signature")), side)
         found = confirmed(pairs.select("a", "b", "a_signature", "b_signature").mapInArrow(screen, "a long, b long"))
         edges = found if edges is None else edges.union(found)
-        roots = components(edges)
+        # Nodes of one root are connected. After the first pass the least pivot that a node is linked to will do.
+        roots = components(edges) if last else found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
         rest = members.drop("root").join(pivots.select("bucket", "a_node"), "bucket").where("node <> a_node").drop("a_node")
-        rest = cut(rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         members = cut(rest.join(open_, "bucket"))
 
@@ -234,8 +235,12 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = m.where("root <> main").select(*columns, F.lit(True).alias("left"), F.pmod("part", "lefts").cast("int").alias("i"), every("rights").alias("j"))
     right = m.select(*columns, F.lit(False).alias("left"), every("lefts").alias("i"), F.pmod("part", "rights").cast("int").alias("j"))
-    edges = edges.union(confirmed(left.union(right).groupBy("bucket", "i", "j").applyInArrow(square, "a long, b long")))
-    return numbered.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    more = confirmed(left.union(right).groupBy("bucket", "i", "j").applyInArrow(square, "a long, b long"))
+    for side in ("a", "b"):  # links between components
+        more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
+    merged = components(more).select(F.col("node").alias("of"), F.col("root").alias("into"))
+    found = numbered.join(roots, "node", "left").withColumn("of", F.coalesce("root", "node")).drop("root", "node")
+    return found.join(merged, "of", "left").withColumn("root", F.coalesce("into", "of")).drop("of", "into")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

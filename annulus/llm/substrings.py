@@ -42,6 +42,7 @@ class Windows:
         self.order = np.argsort(ids, kind="stable")
         self.ids = ids[self.order]
         texts = table.column("text")
+        self.missing = np.asarray(texts.is_null())[self.order]
         self.words = Words([(texts[int(k)].as_py() or "").encode() for k in self.order])
         self.first = self.words.first
         self.at, self.hashes = self.words.windows(n)
@@ -187,6 +188,8 @@ def repeated_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
             if removed[k]:
                 at = w.first[k] + np.nonzero(~cover[w.first[k] : w.first[k + 1]])[0]
                 kept.append(b" ".join([raw[a:b] for a, b in zip(w.words.start[at].tolist(), w.words.end[at].tolist())]).decode())
+            elif original and w.missing[k]:
+                kept.append(None)
             else:
                 kept.append((raw if original else b" ".join(raw.split())).decode())
         ids = pa.array(w.ids, mask=w.null[w.order])

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -149,30 +150,125 @@ def test_toxicity_on_held_out_texts(spark):
     assert all(got[i].predicted == int(i % 4 == 0) for i in range(400, 600)) and got[600].predicted == got[601].predicted == 0
 
 
-def test_toxicity_evidence_stands_at_any_corpus_size(spark):
-    """Totals of a 30 GB corpus: words and stems with `KINDS` continuation types count, a copied passage does not."""
-    told = spark.createDataFrame([(1, 300_000, 100, 300_100, 10, 5), (2, 300_000, 100, 300_100, 2, 2), (3, 240_000_000, 2_400_000_000, 2_640_000_000, 10, 10)], "gram long, " + ", ".join(f"{x} long" for x in toxicity.TOLD))
-    got = {r.gram: r.llr for r in toxicity.evidence(told, 0.5).collect()}
-    assert got[1] > 0.7 and 2 not in got
-
-
-def test_toxicity_counts_kinds_exactly_over_blocks(spark, monkeypatch):
-    """What the blocks tell of a word's different predecessors and of a stem's different words, up to `KINDS`, is what brute force counts."""
+def test_toxicity_value_against_brute_force(spark):
+    """The value of every text from exact continuation counts over blocks, and the rows that may be learned from."""
     r = random.Random(4)
-    stems = [f"{a}{b}" for a in ("nast", "good") for b in ("y", "iness", "ily", "ier", "iest", "yword", "ied", "ies", "ism", "ish", "ist", "ite")]
-    rows = [(i, " ".join(r.choice(stems[: 3 + i // 12] + WORDS) for _ in range(3)), "en", "s", 0) for i in range(240)]
-    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
-    told, evidence = {}, toxicity.evidence
-    monkeypatch.setattr(toxicity, "evidence", lambda t, backoff: (told.update({x.gram: x for x in t.collect()}), evidence(t, backoff))[1])
-    toxicity.toxicity(spark.createDataFrame(rows, DOCS), labels, per_block=500).count()
-    want = {}
+    stems = [f"{a}{b}" for a in ("nastyw", "goodyw") for b in ("y", "iness", "ily", "ier", "iest", "ord", "ied", "ies", "ism", "ish", "ist", "ite")]
+    rows = [(i, " ".join(r.choice((stems[:12] if i % 3 == 0 and r.random() < 0.3 else WORDS + stems[12:])) for _ in range(30)), "en", "s", 0) for i in range(240)]
+    rows += [(900, None, None, None, None), (None, rows[0][1], "en", "s", 0), (901, "", "en", "s", 0), (902, "nastywx " * 20_000, "en", "s", 0)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    got = {(x.doc_id, k): x.value for k, x in enumerate(toxicity.toxicity(spark.createDataFrame(rows, DOCS), labels, per_block=5000).orderBy("doc_id").collect())}
+    seen = [{}, {}]
     for i, text, *_ in rows[:200]:
-        words = text.split()
-        for before, w in zip([None, *words], words):
-            for n, seed in toxicity.UNITS:
-                gram = int(np.uint64(toxicity.xxhash.xxh64_intdigest(w[:n].encode(), seed)).astype(np.int64))
-                want.setdefault(gram, (set(), set()))[1 - i % 2].add(w if n else before)
-    assert {g: (x.seen_toxic, x.seen_ordinary) for g, x in told.items()} == {g: tuple(min(len(k), toxicity.KINDS) for k in v) for g, v in want.items()}
+        if zlib.crc32(f"calibrate {i}".encode()) % toxicity.CALIBRATE:
+            line = [None, *text.split(), None]
+            for before, w, after in zip(line, line[1:], line[2:]):
+                seen[i % 3 == 0].setdefault(w, set()).add((before, after))
+    words = sorted({*seen[0], *seen[1]})
+    count = [np.array([len(s.get(w, ())) for w in words]) for s in seen]
+    total = [int(c.sum()) for c in count]
+
+    def soften(n, e):
+        d = toxicity.SIGMAS * (e + 1) ** 0.5 + toxicity.SHARE * e
+        return max(n - d if n - d > e else n + d if n + d < e else e, toxicity.FLOOR * e)
+
+    def ratio(w):
+        stem = w[: toxicity.STEM]
+        n = [sum(len(v) for k, v in s.items() if k.startswith(stem)) for s in seen]
+        if not sum(n):
+            return 0.0
+        e = [sum(n) * t / sum(total) for t in total]
+        own = [soften(*x) for x in zip(n, e)]
+        out = np.log(own[1] / e[1]) - np.log(own[0] / e[0])
+        each = [len(s.get(w, ())) for s in seen]
+        if sum(each):
+            x = [o * sum(each) / sum(own) for o in own]
+            out += np.log(soften(each[1], x[1]) / x[1]) - np.log(soften(each[0], x[0]) / x[0])
+        return out
+
+    want = {}
+    for i, t, *_ in rows:
+        w = (t or "").split()
+        want[i] = sum(map(ratio, w)) / max(len(w), 1)
+    assert len(got) == len(rows) and any(abs(v) > 0.05 for v in got.values())
+    for (i, _), v in got.items():
+        assert v == pytest.approx(want[i], abs=1e-6)
+
+
+def test_toxicity_without_rows_or_labels(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(spark.createDataFrame([], DOCS), labels).count() == 0
+    assert [x.predicted for x in toxicity.toxicity(spark.createDataFrame([(1, "a b", None, None, None)] * 2, DOCS), labels.limit(0)).collect()] == [0, 0]
+
+
+def test_html_broken_pages_take_linear_time_and_articles_keep_their_blocks():
+    for bad in ("<p " * 350_000, '<a "' * 250_000, '<a b="' * 180_000, "<div>" * 100_000 + "</p>" * 100_000, "<!--" * 250_000, "<script>" * 120_000):
+        began = time.time()
+        html.main_text(bad)
+        assert time.time() - began < 10
+    page = '<article><div class="notice-board"><p>Hello there</p></div><p><a href=x>all link</a></p><div class="cookie-banner">no</div></article>'
+    assert html.main_text(page) == "Hello there\nall link"
+
+
+def test_mixing_with_repeated_ids_comes_near_targets(spark):
+    rows = [(i, "w " * 50, "en", "a", 0) for i in range(20)] + [(999, "w " * 7, "en", "a", 0)] * 200 + [(i, "w " * (i % 30), "en", None, 0) for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == len(rows)
+    for s in ("a", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= 7
+
+
+def test_plan_needs_no_more_sequences_than_best_fit():
+    for seed, n in ((1, 40), (2, 400), (3, 5000)):
+        r = np.random.default_rng(seed)
+        count = np.bincount(np.minimum(r.lognormal(5, 1, n).astype(int) + 1, 1024), minlength=1025)
+        found = packing.plan(count.copy(), 1024)
+        assert (sum(c * k for c, k in found) == count).all() and all((c * np.arange(1025)).sum() <= 1024 for c, _ in found)
+        rooms = []
+        for ell in np.repeat(np.arange(1025), count)[::-1].tolist():
+            k = min((x for x in range(len(rooms)) if rooms[x] >= ell), key=lambda x: rooms[x], default=None)
+            if k is None:
+                rooms.append(1024)
+                k = len(rooms) - 1
+            rooms[k] -= ell
+        bound = packing.prices(np.where(np.arange(1025) == 1024, 0, count), 1024)[1] + count[1024]
+        assert bound - 1e-6 <= sum(k for _, k in found) <= len(rooms)
+    exact = np.bincount([6, 6, 4, 4, 5, 5, 3, 7, 2, 8], minlength=11)
+    assert sum(k for _, k in packing.plan(exact, 10)) == 5
+
+
+def test_media_shards_stay_the_same_when_evaluated_again(spark, docs, tmp_path):
+    stored = media.store(docs.coalesce(2), f"file://{tmp_path}")
+    first = sorted(stored.select("doc_id", "shard", "offset").collect())
+    assert sorted(stored.select("doc_id", "shard", "offset").collect()) == first
+    assert len(list(tmp_path.glob("*.tar"))) == len({r.shard for r in first}) and not list(tmp_path.glob(".*[!c]"))
+    by_text = {}
+    for r, (_, t, *_) in zip(stored.orderBy("doc_id").collect(), corpus()):
+        assert by_text.setdefault(t or "", r.feature) == r.feature and r.feature.startswith("mean=")
+    assert media.store(docs.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def test_urls_with_clashing_columns(spark):
+    pages = spark.createDataFrame([("http://x.net/es/1", 1, "a", "b")], "url string, best int, host string, suffix string")
+    rules = spark.createDataFrame(urls.RULES, "verdict string, host string, path string")
+    (r,) = urls.judge(pages, rules).collect()
+    assert (r.best, r.suffix, r.host, r.rule, r.verdict) == (1, "b", "x.net", "net/es/", "block")
+
+
+def test_pipeline_stages_keep_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    long = [" ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(60)) for _ in range(6)]
+    rows = [(None, long[0], "en", "s", 1), (None, long[1], None, None, 1), (5, long[2], "en", "s", 1), (5, long[3], "en", "s", 1), (5, long[3], "en", "s", 1), (6, long[4], "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    key = lambda d: sorted(map(str, (tuple(x) for x in d.select("doc_id", "text").collect())))
+    once = sorted({str((i, t)) for i, t, *_ in rows})
+    assert key(corpus_pipeline.simhash(spark, docs, "")) == once
+    assert key(corpus_pipeline.substrings(spark, docs.dropDuplicates(), "")) == once
+    taken = corpus_pipeline.mixture(spark, docs, "")
+    assert taken.count() == sum(x.copies for x in mixing.mix(docs).collect()) > 0
 
 
 def test_pipeline_keeps_the_columns_until_the_last_stage(spark):
