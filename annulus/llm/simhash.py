@@ -133,13 +133,13 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
 
-def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: float = 0.8, tile: int = 1024) -> DataFrame:
+def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: float = 0.8, tile: int = 512) -> DataFrame:
     """Rows (columns of `docs`, root): texts linked by a Jaccard similarity of `least` or more of their k-word shingles, directly or in steps.
 
     Equal shingle sets are one node, so copies cost nothing more. Nodes that agree in one of `BANDS` bands of `ROWS` minimum hashes are
     candidates; of these, pairs whose signatures (8 bits of each minimum) agree too seldom are dropped, and each link is confirmed by
     the exact similarity. In each bucket of a band all are compared with the smallest node, twice. What is still in different
-    components is compared in squares of `tile` signatures: the members of a bucket's largest component with the others, and those with
+    components is compared in squares of `tile` members, signatures first and then whole shingle sets, and a square returns one link per component that it joins: the members of a bucket's largest component with the others, and those with
     one another; so no pair of a bucket is left out and a group of copies costs little. A bucket whose many members are alike but not linked is still compared whole. The bands'
     recall holds for similarities of 0.8 or more. SimHash can't stand in for them: at 0.8 its fingerprints differ in about 10 of 64 bits,
     and a radius that finds those compares all with all. Null and empty texts and those of white space are one node. Every row comes back, repeated ones too.
@@ -186,18 +186,30 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
             near = (matrix(batch.column("a_signature")) == matrix(batch.column("b_signature"))).sum(axis=1) >= enough
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
+    def hashes(batches):
+        for batch in (part for b in batches for part in portions(b, "t")):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([h.tobytes() for h in shingle_sets(batch.column("t").to_pylist(), k)], pa.binary())], names=["node", "hashes"])
+
     def square(table: pa.Table) -> pa.Table:
+        """Links that join different roots: each left node with all right ones, exactly where the signatures let it; one link per root."""
         node, size, root, left = (table.column(c).to_numpy() for c in ("node", "size", "root", "left"))
-        m = matrix(table.column("signature"))
-        p, q = np.nonzero(left)[0], np.nonzero(~left)[0]
-        out = [np.empty((2, 0), dtype=np.int64)]
-        for i in p:
-            near = (root[q] != root[i]) & (np.minimum(size[q], size[i]) >= least * np.maximum(size[q], size[i]))
-            j = q[near]
+        m, column, out = matrix(table.column("signature")), table.column("hashes").combine_chunks(), []
+        root = np.unique(root, return_inverse=True)[1]
+        q = np.nonzero(~left)[0]
+        for i in np.nonzero(left)[0]:
+            j = q[(root[q] != root[i]) & (np.minimum(size[q], size[i]) >= least * np.maximum(size[q], size[i]))]
             j = j[(m[j] == m[i]).sum(axis=1) >= enough]
-            out.append(np.stack([np.minimum(node[j], node[i]), np.maximum(node[j], node[i])]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+            own = np.frombuffer(column[int(i)].as_py(), dtype=np.uint64)
+            if not len(j) or not len(own):
+                continue
+            others = np.frombuffer(b"".join(column.take(pa.array(j)).to_pylist()), dtype=np.uint64)
+            hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[j]) - size[j])
+            j = j[both >= least * (size[i] + size[j] - both)]
+            for x in j[np.unique(root[j], return_index=True)[1]]:
+                out.append((min(node[i], node[x]), max(node[i], node[x])))
+                root[root == root[x]] = root[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     nodes = cut(docs.select(text).mapInArrow(sign, "node long, size int, bands array<long>, signature binary").dropDuplicates(["node"]))
     signatures = nodes.select("node", "signature")
@@ -230,12 +242,13 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
 
     per = members.groupBy("bucket", "root").count()
     main = per.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("all")).select("bucket", F.col("m.root").alias("main"), F.ceil((F.col("all") - F.col("m.count")) / tile).cast("int").alias("lefts"), F.ceil(F.col("all") / tile).cast("int").alias("rights"))
-    m = members.join(main, "bucket").join(signatures, "node").withColumn("part", F.xxhash64("node"))
-    columns = ["bucket", "node", "size", "root", "signature"]
+    sets = texts.join(members.select("node").distinct(), "node").mapInArrow(hashes, "node long, hashes binary")
+    m = members.join(main, "bucket").join(signatures, "node").join(sets, "node").withColumn("part", F.xxhash64("node"))
+    columns = ["bucket", "node", "size", "root", "signature", "hashes"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = m.where("root <> main").select(*columns, F.lit(True).alias("left"), F.pmod("part", "lefts").cast("int").alias("i"), every("rights").alias("j"))
     right = m.select(*columns, F.lit(False).alias("left"), every("lefts").alias("i"), F.pmod("part", "rights").cast("int").alias("j"))
-    more = confirmed(left.union(right).groupBy("bucket", "i", "j").applyInArrow(square, "a long, b long"))
+    more = left.union(right).groupBy("bucket", "i", "j").applyInArrow(square, "a long, b long").distinct()
     for side in ("a", "b"):  # links between components
         more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
     merged = components(more).select(F.col("node").alias("of"), F.col("root").alias("into"))
