@@ -19,6 +19,17 @@ def radius_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).select("a_id", "b_id", "distance")
 
 
+def one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join by `keys`, which must be unique on both sides: a key that repeats makes the query fail when it runs."""
+    for side in ("a", "b"):
+        d = a if side == "a" else b
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        once = F.when(n == 1, True).otherwise(F.raise_error(F.lit(f"keys repeat on side {side} of a one-to-one join")).cast("boolean"))
+        d = d.withColumn("once", once).where("once").drop("once")
+        a, b = (d, b) if side == "a" else (a, d)
+    return a.join(b, keys)
+
+
 def mutual_nearest(pairs: DataFrame) -> DataFrame:
     """The pairs of `radius_join` in which each is the other's nearest; ties go to the smaller id."""
     of = lambda k, other: F.row_number().over(Window.partitionBy(k).orderBy("distance", other))

@@ -402,9 +402,9 @@ def win20_since_first(spark, sf_dir):
 # Sorting, stencils, composition.
 
 
-@query(f"""WITH g AS ({GRID}), t AS (SELECT s.y, s.x, s.value, max(n.value) AS top FROM g s JOIN g n ON abs(n.y - s.y) <= 1 AND abs(n.x - s.x) <= 1 GROUP BY 1, 2, 3) SELECT y, x, value FROM t WHERE value = top AND value > 1200""")
+@query(f"""WITH g AS ({GRID}), t AS (SELECT s.y, s.x, s.value, max(n.value) AS top FROM g s JOIN g n ON abs(n.y - s.y) <= 1 AND abs(n.x - s.x) <= 1 GROUP BY 1, 2, 3) SELECT y, x, value FROM t WHERE value = top AND value > 950""")
 def srt08_local_maxima(spark, sf_dir):
-    return G.local_maxima(grid(spark, sf_dir), 1200.0)
+    return G.local_maxima(grid(spark, sf_dir), 950.0)
 
 
 @query(f"""WITH g AS ({GRID}) SELECT CAST(y % 2 * 2 + x % 2 AS INTEGER) AS plane, y // 2 AS y, x // 2 AS x, value FROM g""")

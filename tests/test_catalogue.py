@@ -6,6 +6,9 @@ import os
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from annulus.operators import grid, match
 from annulus.plans import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +77,35 @@ def test_aperture_fluxes_take_every_pixel(spark):
     part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
     df = QUERIES["agg20_aperture_fluxes"](spark, "/root/testdata/sf0.001")
     assert df.count() == part and {f"f{k}" for k in range(1, 21)} < set(df.columns)
+
+
+def test_one_to_one_join_refuses_repeated_keys(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "p"), (1, "q"), (3, "r")], "k int, b string")
+    assert [tuple(r) for r in match.one_to_one(a, b.where("b <> 'q'"), ["k"]).collect()] == [(1, "x", "p")]
+    with pytest.raises(Exception, match="keys repeat on side b"):
+        match.one_to_one(a, b, ["k"]).collect()
+
+
+def test_normalised_gauss_keeps_a_constant_beside_holes(spark):
+    flat = [(y, x, None if (y, x) == (3, 3) else 7.0) for y in range(8) for x in range(8)]
+    pixels = spark.createDataFrame(flat, "y int, x int, value double")
+    got = {(r.y, r.x): r.smooth for r in grid.gauss_smooth(pixels, 1.5).collect()}
+    assert len(got) == 64 and all(abs(v - 7) < 1e-9 for v in got.values())
+    assert all(r.spread < 1e-3 for r in grid.local_spread(pixels, 1.0).collect())
+
+
+def test_superpixel_without_a_site_is_void(spark):
+    cell = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, None), (1, 1, 4.0), (0, 2, 1.0), (0, 3, 2.0), (1, 2, 4.0), (1, 3, 8.0)], "y int, x int, value double")
+    got = {r.x: (r.r, r.g, r.b) for r in grid.superpixels(cell).collect()}
+    assert got == {0: (None, None, None), 1: (1.0, 3.0, 8.0)}
+
+
+def test_pixel_columns(spark):
+    import math
+
+    from annulus.functions import pixel
+
+    d = spark.createDataFrame([(0.5,), (float("nan"),), (None,), (2.0,)], "v double")
+    assert [r[0] for r in d.select(pixel.to_unsigned(F.col("v"))).collect()] == [32768, 0, 0, 65535]
+    for x in (-2.0, -0.3, 0.0, 0.7, 3.0):
+        assert abs(spark.range(1).select(pixel.erf(F.lit(x))).first()[0] - math.erf(x)) < 2e-7
