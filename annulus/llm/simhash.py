@@ -140,7 +140,7 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
     candidates; of these, pairs whose signatures (8 bits of each minimum) agree too seldom are dropped, and each link is confirmed by
     the exact similarity. In each bucket of a band all are compared with the smallest node, twice. What is still in different
     components is compared in squares of `tile` members, signatures first and then whole shingle sets, and a square returns one link per component that it joins: the members of a bucket's largest component with the others, and those with
-    one another; so no pair of a bucket is left out and a group of copies costs little. A bucket whose many members are alike but not linked is still compared whole. The bands'
+    one another, in one group for all buckets with the same largest component; so no pair of a bucket is left out and a group of copies costs little. A bucket whose many members are alike but not linked is still compared whole. The bands'
     recall holds for similarities of 0.8 or more. SimHash can't stand in for them: at 0.8 its fingerprints differ in about 10 of 64 bits,
     and a radius that finds those compares all with all. Null and empty texts and those of white space are one node. Every row comes back, repeated ones too.
     """
@@ -240,15 +240,17 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
         open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         members = cut(rest.join(open_, "bucket"))
 
-    per = members.groupBy("bucket", "root").count()
-    main = per.groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m"), F.sum("count").alias("all")).select("bucket", F.col("m.root").alias("main"), F.ceil((F.col("all") - F.col("m.count")) / tile).cast("int").alias("lefts"), F.ceil(F.col("all") / tile).cast("int").alias("rights"))
-    sets = texts.join(members.select("node").distinct(), "node").mapInArrow(hashes, "node long, hashes binary")
-    m = members.join(main, "bucket").join(signatures, "node").join(sets, "node").withColumn("part", F.xxhash64("node"))
-    columns = ["bucket", "node", "size", "root", "signature", "hashes"]
+    # Buckets with the same largest component are compared as one group, so that a node goes there once.
+    per = members.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
+    groups = cut(members.join(per, "bucket").select("main", "node", "size", "root").distinct())
+    parts = groups.groupBy("main").agg(F.ceil(F.sum((F.col("root") != F.col("main")).cast("int")) / tile).cast("int").alias("lefts"), F.ceil(F.count("*") / tile).cast("int").alias("rights")).where("lefts > 0")
+    sets = texts.join(groups.select("node").distinct(), "node").mapInArrow(hashes, "node long, hashes binary")
+    m = groups.join(parts, "main").join(signatures, "node").join(sets, "node").withColumn("part", F.xxhash64("node"))
+    columns = ["main", "node", "size", "root", "signature", "hashes"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = m.where("root <> main").select(*columns, F.lit(True).alias("left"), F.pmod("part", "lefts").cast("int").alias("i"), every("rights").alias("j"))
     right = m.select(*columns, F.lit(False).alias("left"), every("lefts").alias("i"), F.pmod("part", "rights").cast("int").alias("j"))
-    more = left.union(right).groupBy("bucket", "i", "j").applyInArrow(square, "a long, b long").distinct()
+    more = left.union(right).groupBy("main", "i", "j").applyInArrow(square, "a long, b long").distinct()
     for side in ("a", "b"):  # links between components
         more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
     merged = components(more).select(F.col("node").alias("of"), F.col("root").alias("into"))
