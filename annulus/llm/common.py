@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as compressed Parquet in the shared folder and read again: a lineage cut that keeps columns apart."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`; where that is unset, a new local one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -194,11 +202,15 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
+#: Edges that a part of a round of `components` holds.
+PART = 250_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): rows (node, root), root the smallest node reachable.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join, until the edges are
-    stars around the smallest nodes. Roots themselves and nodes without edges get no row. The stars of a
+    stars around the smallest nodes. A round is written in as many parts as its edges need at `PART` each. Roots themselves and nodes without edges get no row. The stars of a
     hub are rows of a plain equi-join, which adaptive execution splits when they are skewed.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -213,4 +225,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct())
+        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m")).distinct().coalesce(1 + found["n"] // PART))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Words, components, cut, forest, mixed, portions, powers
+from .common import BASES, Words, components, cut, forest, mixed, portions, powers, stored
 
 #: Quarters of a fingerprint whose population counts name its tile.
 PARTS, WIDTH = 4, 16
@@ -133,8 +133,43 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes())
 
 
+def with_nodes(docs: DataFrame, text: str, k: int, *, keep_text: bool = True) -> DataFrame:
+    """`docs` with `node`, the hash of a text's different k-word shingles; without `keep_text` the text stays behind."""
+    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+
+    def number(batches):
+        for batch in (part for b in batches for part in portions(b, text)):
+            node = np.array([node_of(h) for h in shingle_sets(batch.column(text).to_pylist(), k)], dtype=np.uint64)
+            yield batch.select([f.name for f in kept]).append_column("node", pa.array(node.view(np.int64)))
+
+    return docs.mapInArrow(number, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "node long")
+
+
 def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: float = 0.8, tile: int = 512) -> DataFrame:
-    """Rows (columns of `docs`, root): texts linked by a Jaccard similarity of `least` or more of their k-word shingles, directly or in steps.
+    """Rows (columns of `docs`, root): every row, repeated ones too, with the component of its text by `text_roots`."""
+    roots = text_roots(docs, text=text, k=k, least=least, tile=tile)
+    return with_nodes(docs, text, k).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+
+
+def first_of_similar(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8, tile: int = 512) -> DataFrame:
+    """Of each component of `text_roots` one row of `docs`: that of smallest id, null ids last, among equal ids that of the smallest digest.
+
+    Ids and digests of whole rows choose, so texts cross one shuffle only. Rows that are equal in all columns are one row; an empty table gives none.
+    """
+    roots = text_roots(docs, text=text, k=k, least=least, tile=tile)
+    # A digest of all columns, nulls told apart from texts.
+    digest = F.md5(F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.md5(F.col(f"`{c}`").cast("string"))), F.lit("-")) for c in docs.columns]))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), digest.alias("digest"))
+    keys = with_nodes(docs.select(F.col(text).alias("text"), F.col(id).alias("id"), digest.alias("digest")), "text", k, keep_text=False)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
+    chosen = keys.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first).select(F.col("first.digest").alias("digest"))
+    return rows.join(chosen, "digest").dropDuplicates(["digest"]).select("row.*")
+
+
+def text_roots(docs: DataFrame, *, text: str = "text", k: int = 5, least: float = 0.8, tile: int = 512) -> DataFrame:
+    """Rows (node, root) of the texts linked to others by a Jaccard similarity of `least` or more of their k-word shingles, directly or in steps.
+
+    A node is one set of shingles (`with_nodes`); those that are linked to none, or are the root of the others, may have no row.
 
     Equal shingle sets are one node, so copies cost nothing more. Nodes that agree in one of `BANDS` bands of `ROWS` minimum hashes are
     candidates; of these, pairs whose signatures (8 bits of each minimum) agree too seldom are dropped, and each link is confirmed by
@@ -142,16 +177,11 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
     components is compared in squares of `tile` members, signatures first and then whole shingle sets, and a square returns one link per component that it joins: the members of a bucket's largest component with the others, and those with
     one another, in one group for all buckets with the same largest component; so no pair of a bucket is left out and a group of copies costs little. A bucket whose many members are alike but not linked is still compared whole. The bands'
     recall holds for similarities of 0.8 or more. SimHash can't stand in for them: at 0.8 its fingerprints differ in about 10 of 64 bits,
-    and a radius that finds those compares all with all. Null and empty texts and those of white space are one node. Every row comes back, repeated ones too.
+    and a radius that finds those compares all with all. Null and empty texts and those of white space are one node.
     """
     r = np.random.default_rng(42)
     a, b = (r.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 
-    def number(batches):
-        for batch in (part for b in batches for part in portions(b, text)):
-            node = np.array([node_of(h) for h in shingle_sets(batch.column(text).to_pylist(), k)], dtype=np.uint64)
-            yield batch.append_column("node", pa.array(node.view(np.int64)))
-
     def sign(batches):
         for batch in (part for b in batches for part in portions(b, text)):
             node, size, bands, signature = [], [], [], []
@@ -211,18 +241,17 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
                 root[root == root[x]] = root[i]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    nodes = cut(docs.select(text).mapInArrow(sign, "node long, size int, bands array<long>, signature binary").dropDuplicates(["node"]))
+    nodes = stored(docs.select(text).mapInArrow(sign, "node long, size int, bands array<long>, signature binary").dropDuplicates(["node"]))
     signatures = nodes.select("node", "signature")
     rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    members = cut(rows.join(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket").withColumn("root", F.col("node")))
-    numbered = docs.mapInArrow(number, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", node long")
+    members = stored(rows.join(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket").withColumn("root", F.col("node")))
     wanted = members.select("node").distinct()
-    texts = cut(docs.select(text).mapInArrow(number, f"`{text}` string, node long").join(wanted, "node").groupBy("node").agg(F.min(text).alias("t")))
+    texts = stored(with_nodes(docs.select(text), text, k).join(wanted, "node").groupBy("node").agg(F.min(text).alias("t")))
 
     def confirmed(near):
         near = near.distinct()
         near = near.join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b")
-        return cut(near.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
+        return stored(near.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
 
     edges = None
     for last in (False, True):
@@ -238,11 +267,11 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
         rest = members.drop("root").join(pivots.select("bucket", "a_node"), "bucket").where("node <> a_node").drop("a_node")
         rest = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        members = cut(rest.join(open_, "bucket"))
+        members = stored(rest.join(open_, "bucket"))
 
     # Buckets with the same largest component are compared as one group, so that a node goes there once.
     per = members.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
-    groups = cut(members.join(per, "bucket").select("main", "node", "size", "root").distinct())
+    groups = stored(members.join(per, "bucket").select("main", "node", "size", "root").distinct())
     parts = groups.groupBy("main").agg(F.ceil(F.sum((F.col("root") != F.col("main")).cast("int")) / tile).cast("int").alias("lefts"), F.ceil(F.count("*") / tile).cast("int").alias("rights")).where("lefts > 0")
     sets = texts.join(groups.select("node").distinct(), "node").mapInArrow(hashes, "node long, hashes binary")
     m = groups.join(parts, "main").join(signatures, "node").join(sets, "node").withColumn("part", F.xxhash64("node"))
@@ -254,8 +283,9 @@ def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: flo
     for side in ("a", "b"):  # links between components
         more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
     merged = components(more).select(F.col("node").alias("of"), F.col("root").alias("into"))
-    found = numbered.join(roots, "node", "left").withColumn("of", F.coalesce("root", "node")).drop("root", "node")
-    return found.join(merged, "of", "left").withColumn("root", F.coalesce("into", "of")).drop("of", "into")
+    # Roots that are joined to others have no row among `roots` themselves.
+    linked = roots.select("node", F.col("root").alias("of")).union(merged.select("of", "of"))
+    return linked.join(merged, "of", "left").select("node", F.coalesce("into", "of").alias("root"))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
