@@ -87,12 +87,22 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     return probability.select("gram", F.log("p").alias("logp"))
 
 
+def by_shard(grams: list[str], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): the positions of grams in shards, each in the order of the grams themselves, and where each shard starts.
+
+    The rows of a block reach each pass in whatever order the shuffle delivers them, so their order must not count.
+    """
+    order = np.array(sorted(range(len(grams)), key=grams.__getitem__), dtype=np.int64)
+    shard = np.array([zlib.crc32(grams[i].encode()) % shards for i in order.tolist()], dtype=np.int64)
+    return order[np.argsort(shard, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+
+
 def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep: list[str], order: int, per_block: int) -> DataFrame:
     """`docs` columns (id, *keep) with nll, the mean negative log-probability of a symbol under the model of the texts in `train` (id).
 
     Documents are dealt once to blocks of about `per_block` bytes. A block asks for its different n-grams, with
     how often its training texts hold them, in one compressed message per shard of n-grams; the messages of a shard
-    are summed into its counts, and answered, in their own order, with the probabilities made of all counts; a block then scores
+    are summed into its counts, and answered, in the order of the grams, with the probabilities made of all counts; a block then scores
     its texts with its own answers. So the model is sharded by n-gram and nothing of it is held whole anywhere.
     """
     _, n = blocks_for(docs, text, per_block)
@@ -101,11 +111,6 @@ def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep:
     train = train.select(F.col(id).cast("long").alias("train")).distinct().withColumn("block", block_of("train", n))
     asked = pa.schema({"block": pa.int32(), "shard": pa.int32(), "grams": pa.binary(), "counts": pa.binary()})
 
-    def by_shard(grams: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(order, first): the positions of grams in shards, each in the order of the text, and where each shard starts."""
-        shard = np.array([zlib.crc32(g.encode()) % shards for g in grams], dtype=np.int64)
-        return np.argsort(shard, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
-
     def ask(key, table: pa.Table, trained: pa.Table) -> pa.Table:
         if not table.num_rows:
             return asked.empty_table()
@@ -114,7 +119,7 @@ def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep:
         ids = table.column("id")
         chosen = np.isin(ids.fill_null(0).to_numpy(), trained.column("train").to_numpy()) & np.asarray(ids.is_valid())
         c = np.bincount(g.gram[chosen[g.doc]], minlength=len(g.distinct)).astype(np.int64)
-        at, first = by_shard(g.distinct)
+        at, first = by_shard(g.distinct, shards)
         out = {name: [] for name in asked.names}
         for k in range(shards):
             own = at[first[k] : first[k + 1]]
@@ -143,7 +148,7 @@ def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep:
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         table = undeal(table)
         g = Grams(table.column("text").to_pylist(), order)
-        at, _ = by_shard(g.distinct)
+        at, _ = by_shard(g.distinct, shards)
         replies = [answers.column("logp")[int(k)].as_py() for k in np.argsort(answers.column("shard").to_numpy())]
         logp = np.empty(len(at))
         logp[at] = np.frombuffer(b"".join(replies), dtype=np.float32)

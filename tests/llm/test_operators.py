@@ -311,3 +311,15 @@ def test_pipeline_removes_near_copies_like_brute_force(spark):
     assert len(set(root)) < len(texts) - 50
     assert sorted(x.doc_id for x in got) == sorted(set(root))
     assert corpus_pipeline.simhash(spark, spark.createDataFrame(rows[:0], DOCS), "").count() == 0
+
+
+def test_quality_messages_do_not_depend_on_the_order_of_rows():
+    from annulus.llm.quality import Grams, by_shard
+
+    texts = ["one two two three", "", "drei vier", "\u00e9\U0001f600 one"]
+    seen = []
+    for order in (texts, texts[::-1]):
+        grams = Grams(order, 4).distinct
+        at, first = by_shard(grams, 3)
+        seen.append(([grams[i] for i in at], first.tolist()))
+    assert seen[0] == seen[1] and len(seen[0][0]) == first[-1]
