@@ -168,7 +168,7 @@ def repair(conversations: DataFrame, *, conv: str = "conv_id", turn: str = "turn
     of these give each piece the least costs to its first turn and from its last one on. With both, each block alone finds its tight
     arcs and walks them. So no task holds more than a block, however long a conversation is, but for one 4 x 4 table per piece.
 
-    Null role or text count as one space; null conv is one conversation; other columns, whatever their names, are not read; equal rows are
+    Null role or text count as one space, and an empty role can't stay; null conv is one conversation; other columns, whatever their names, are not read; equal rows are
     duplicates. An empty table gives no rows.
     """
     rows = conversations.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), *[F.coalesce(F.col(c), F.lit(" ")).alias(n) for n, c in (("role", role), ("text", text))])
