@@ -77,8 +77,8 @@ class CuckooFilter:
                 bucket, mark = np.delete(bucket, put), np.delete(mark, put)
             if not len(bucket):
                 break
-            if turn % 2:
-                one, s = np.unique(bucket, return_index=True)[1], turn // 2 % SLOTS
+            if turn:
+                one, s = np.unique(bucket, return_index=True)[1], turn % SLOTS
                 layer[bucket[one], s], mark[one] = mark[one], layer[bucket[one], s]
             bucket = self.other(bucket, mark)
         return bucket, mark
@@ -88,11 +88,12 @@ class CuckooFilter:
         first, mark = self.at(keys)
         for layer in reversed(self.layers):
             for s in range(SLOTS):
-                for bucket in (first, self.other(first, mark)):
-                    while len(hit := np.nonzero(layer[bucket, s] == mark)[0]):
-                        gone = hit[np.unique(bucket[hit], return_index=True)[1]]
-                        layer[bucket[gone], s] = 0
-                        first, mark, bucket = np.delete(first, gone), np.delete(mark, gone), np.delete(bucket, gone)
+                for side in (0, 1):
+                    bucket = self.other(first, mark) if side else first
+                    hit = np.nonzero(layer[bucket, s] == mark)[0]
+                    gone = hit[np.unique(bucket[hit], return_index=True)[1]]
+                    layer[bucket[gone], s] = 0
+                    first, mark = np.delete(first, gone), np.delete(mark, gone)
         if len(first):
             raise ValueError("a key that the filter does not hold can't be removed")
 
@@ -211,7 +212,9 @@ class LineIndex:
     def repeats(self, references: DataFrame) -> DataFrame:
         """Rows (id, content, gone): the numbers of the lines of each row that a document of smaller id holds too."""
         maybe = self.held(references.select("key").distinct(), 2)
-        shared = stored(counted(self.log.join(maybe, "key", "left_semi")).where("documents > 1").select("key", "none", "first"))
+        # Dealt anew by key and document, so that the join can split the references of a frequent key.
+        held = self.log.join(maybe, "key", "left_semi").repartition("key", "id")
+        shared = stored(counted(held).where("documents > 1").select("key", "none", "first"))
         later = references.join(shared, "key").where(F.col("id").isNotNull() & (F.col("none") | (F.col("first") < F.col("id"))))
         each = later.groupBy("id", "content", "key").agg(F.first("at").alias("at"))
         return each.groupBy("id", "content").agg(F.flatten(F.collect_list("at")).alias("gone"))
