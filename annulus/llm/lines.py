@@ -215,7 +215,7 @@ class LineIndex:
         # Dealt anew by key and document, so that the join can split the references of a frequent key.
         held = self.log.join(maybe, "key", "left_semi").repartition("key", "id")
         shared = stored(counted(held).where("documents > 1").select("key", "none", "first"))
-        later = references.join(shared, "key").where(F.col("id").isNotNull() & (F.col("none") | (F.col("first") < F.col("id"))))
+        later = references.join(shared, "key").where(F.col("id").isNotNull() & (F.col("none") | (F.col("first") < F.col("id")))).repartition("id", "content")
         each = later.groupBy("id", "content", "key").agg(F.first("at").alias("at"))
         return each.groupBy("id", "content").agg(F.flatten(F.collect_list("at")).alias("gone"))
 
