@@ -48,6 +48,10 @@ class Windows:
         self.at, self.hashes = self.words.windows(n)
         self.doc = np.searchsorted(self.first, self.at, side="right") - 1
         self.start = self.at - self.first[self.doc]
+        #: Windows in the order of (doc_id, start): where rows repeat an id, an earlier start in a later row comes first.
+        ids = self.ids[self.doc]
+        repeated = len(ids) and (self.ids[1:] == self.ids[:-1]).any()
+        self.places = np.lexsort((self.start, ids)) if repeated else np.arange(len(ids))
         #: First window of the block with the same words, told apart by both hashes.
         self.same = self.number(self.hashes[0])
         if len(self.same) and (self.hashes[1] != self.hashes[1][self.earliest][self.same]).any():
@@ -55,10 +59,11 @@ class Windows:
             self.same = self.number(both[0] << 32 | both[1])
 
     def number(self, key: np.ndarray) -> np.ndarray:
-        """Numbers of equal keys in the order of their first places, which go to `earliest`."""
+        """Numbers of equal keys; their first places in the order of (doc_id, start) go to `earliest`."""
         same, _ = pd.factorize(key)
         self.earliest = np.zeros(same.max() + 1 if len(same) else 0, dtype=np.int64)
-        self.earliest[same[::-1]] = np.arange(len(same))[::-1]
+        last = self.places[::-1]
+        self.earliest[same[last]] = last
         return same
 
     def cells(self, row: int, bits: int) -> np.ndarray:

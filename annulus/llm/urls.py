@@ -32,7 +32,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
     its path; the longest rule text wins, then the longest host, then `block`. Without a rule: `default`.
 
     Each distinct url is expanded into its host suffixes and its path prefixes that end in `/` (and the empty
-    one); a rule is filed under its host and its path up to the last `/`. Both are joined on the first
+    one), at the depths that some rule has and at no others, so that the work on a url grows with its length; a rule is filed under its host and
+    its path up to the last `/`. Both are joined on the first
     `prefix` hexadecimal digits of a SHA-256; candidates are then confirmed by the full digest of that key and of the
     whole rule text. Null urls or urls without `://` have an empty host and path and get the default; repeated rows each get
     their row back; columns of `pages` called host, path, rule or verdict are replaced, and others come back whatever their names; empty tables are fine.
@@ -41,14 +42,15 @@ def judge(pages: DataFrame, rules: DataFrame, *, url: str = "url", default: str
     sep = F.lit("\n")  # in no key twice: hosts come first and a path starts with "/" or is empty
     rows = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     sites = rows.select("host", "path").distinct()
-    # Suffixes of the host: itself and what follows each dot. Prefixes of the path: up to each slash.
-    parts = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    steps = F.split("path", "/")
-    paths = F.concat(F.array(F.lit("")), F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>")))
-    keys = sites.withColumn("suffix", F.explode(F.array_distinct(hosts))).withColumn("lead", F.explode(F.array_distinct(paths)))
-    keys = keys.withColumn("digest", F.sha2(F.concat("suffix", sep, "lead"), 256)).withColumn("short", F.substring("digest", 1, prefix))
     r = rules.select("verdict", F.col("host").alias("r_host"), F.col("path").alias("r_path")).dropDuplicates()
+    # The depths at which rules are filed, in one row: labels of the host and slashes of the path. A url is cut at these alone.
+    slashes = lambda c: F.length(c) - F.length(F.replace(c, F.lit("/"), F.lit("")))
+    labels = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."), F.lit(""))) + 1
+    depths = r.agg(F.collect_set(F.struct(labels(F.col("r_host")).alias("labels"), slashes(F.col("r_path")).alias("slashes"))).alias("depths"))
+    keys = sites.join(F.broadcast(depths), F.lit(True)).select("host", "path", labels(F.col("host")).alias("n"), slashes(F.col("path")).alias("m"), F.explode("depths").alias("d")).where("d.labels <= n and d.slashes <= m")
+    lead = F.when(F.col("d.slashes") == 0, "").otherwise(F.concat(F.call_function("substring_index", "path", F.lit("/"), F.col("d.slashes")), F.lit("/")))
+    keys = keys.select("host", "path", F.call_function("substring_index", "host", F.lit("."), -F.col("d.labels")).alias("suffix"), lead.alias("lead"))
+    keys = keys.withColumn("digest", F.sha2(F.concat("suffix", sep, "lead"), 256)).withColumn("short", F.substring("digest", 1, prefix))
     r = r.withColumn("r_digest", F.sha2(F.concat("r_host", sep, to_last_slash(F.col("r_path"))), 256)).withColumn("short", F.substring("r_digest", 1, prefix)).withColumn("r_full", F.sha2(F.concat("r_host", sep, "r_path"), 256))
     begins = F.sha2(F.concat("suffix", sep, F.expr("substring(path, 1, length(r_path))")), 256)
     hit = keys.join(r, "short").where((F.col("digest") == F.col("r_digest")) & (begins == F.col("r_full")))

@@ -323,3 +323,22 @@ def test_quality_messages_do_not_depend_on_the_order_of_rows():
         at, first = by_shard(grams, 3)
         seen.append(([grams[i] for i in at], first.tolist()))
     assert seen[0] == seen[1] and len(seen[0][0]) == first[-1]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+@pytest.mark.parametrize("per_block", [8 << 20, 400])
+def test_of_rows_of_one_id_the_earlier_start_stays_in_any_order(spark, turned, per_block):
+    passage = " ".join(f"w{k}" for k in range(25))
+    lead = lambda n: " ".join(f"x{n}_{k}" for k in range(n))
+    rows = [(5, f"{lead(10)} {passage}"), (5, f"{lead(3)} {passage}"), (9, f"{lead(1)} {passage} end"), (None, f"{lead(7)} {passage} {lead(40)}"), (None, f"{lead(2)} {passage}")]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.repeated_words(df, per_block=per_block).collect()}
+    # Null ids come first as one document: of their two rows the earlier start stays.
+    assert got == {(5, 35): 25, (5, 28): 25, (9, 27): 25, (None, 72): 25, (None, 27): 0}
+
+
+def test_long_urls_are_cut_at_the_depths_of_rules(spark):
+    rules = spark.createDataFrame([("block", "b.org", "/a/"), ("allow", "x.b.org", "/a/a/a/q"), ("block", "", "/only/")], "verdict string, host string, path string")
+    long = [(1, "http://" + "s." * 20_000 + "b.org" + "/a" * 40_000), (2, "http://x.b.org/a/a/a/qq"), (3, "http://x.b.org/a/a"), (4, "http:///only/z"), (5, "http://b.org/a"), (6, None)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(long, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("b.org/a/", "block"), 2: ("x.b.org/a/a/a/q", "allow"), 3: ("b.org/a/", "block"), 4: ("/only/", "block"), 5: (None, "allow"), 6: (None, "allow")}
