@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Standard deviations of a normal law per median absolute deviation.
 MAD = 1.4826
 
@@ -50,12 +52,15 @@ def running_median(df: DataFrame, keys: list[str], bin: str, value: str, *, bins
 
 
 def clipped_fit(df: DataFrame, keys: list[str], y: str, x: str, *, clip: float, rounds: int) -> DataFrame:
-    """Rows (*keys, n, slope, base) of straight lines through rows whose residual stays within `clip` robust deviations, `rounds` times over."""
-    kept = df
+    """Rows (*keys, n, slope, base) of straight lines through rows whose residual stays within `clip` robust deviations, `rounds` times over.
+
+    Each round starts from a checkpointed slim table, so that the plan of a round holds no other.
+    """
+    kept = cut(df.select(*keys, y, x))
     for left in range(rounds, -1, -1):
         fit = kept.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("base"))
         if not left:
             return fit
-        res = kept.join(fit.drop("n"), keys).withColumn("res", F.col(y) - F.col("slope") * F.col(x) - F.col("base")).drop("slope", "base")
+        res = cut(kept.join(fit.drop("n"), keys).withColumn("res", F.col(y) - F.col("slope") * F.col(x) - F.col("base")).drop("slope", "base"))
         spread = robust(res, keys, "res").select(*keys, "mid", "mad")
-        kept = res.join(spread, keys).where(F.abs(F.col("res") - F.col("mid")) <= clip * MAD * F.col("mad")).drop("res", "mid", "mad")
+        kept = cut(res.join(spread, keys).where(F.abs(F.col("res") - F.col("mid")) <= clip * MAD * F.col("mad")).select(*keys, y, x))

@@ -10,6 +10,9 @@ from ..functions import scalar as S
 from ..operators import grid as G
 from ..operators import match as M
 from ..operators import rings as R
+from ..operators.order import numbered
+from ..operators.raster import of_keys
+from ..operators.quantiles import exact_median, exact_quantiles
 from .catalogue import GRID, RING, grid, items, query, table
 from .sky import rounded
 
@@ -124,9 +127,10 @@ def fil02_usable_window(spark, sf_dir):
 @query(f"""WITH g AS ({GRID}), m AS (SELECT median(value) AS mid FROM g), s AS (SELECT greatest(median(abs(value - mid)) * 1.4826, 1) AS mad FROM g, m)
 SELECT y, x FROM g, m, s WHERE value > mid + 1.2 * mad OR value < mid - 1.2 * mad""")
 def fil05_static_hot(spark, sf_dir):
-    g = grid(spark, sf_dir).withColumn("one", F.lit(1))
-    stats = R.robust(g, ["one"], "value").select("one", "mid", "mad")
-    return g.join(stats, "one").where(F.abs(F.col("value") - F.col("mid")) > 1.2 * F.greatest(R.MAD * F.col("mad"), F.lit(1.0))).select("y", "x")
+    g = grid(spark, sf_dir)
+    g = of_keys(g, (), exact_median(g, (), "value").select(F.col("median").alias("mid"))).withColumn("off", F.abs(F.col("value") - F.col("mid")))
+    g = of_keys(g, (), exact_median(g, (), "off").select(F.col("median").alias("mad")))
+    return g.where(F.abs(F.col("value") - F.col("mid")) > 1.2 * F.greatest(R.MAD * F.col("mad"), F.lit(1.0))).select("y", "x")
 
 
 # Joins by key.
@@ -194,9 +198,9 @@ def joi16_close_pairs(spark, sf_dir):
 SELECT CAST((l_extendedprice >= a)::INT + (l_extendedprice >= b)::INT + (l_extendedprice >= c)::INT AS INTEGER) AS ring, count(*) AS n, median(l_quantity) AS mid FROM lineitem, e GROUP BY 1""")
 def agg03_quantile_rings(spark, sf_dir):
     d = items(spark, sf_dir)
-    edges = d.agg(F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("edges")).withColumn("one", F.lit(1))
+    edges = exact_quantiles(d, (), "l_extendedprice", (0.25, 0.5, 0.75)).agg(F.collect_list("quantile").alias("edges"))  # three rows
     ring = F.size(F.filter("edges", lambda e: e <= F.col("l_extendedprice")))
-    return d.withColumn("one", F.lit(1)).join(F.broadcast(edges), "one").groupBy(ring.alias("ring")).agg(F.count("*").alias("n"), F.median("v").alias("mid"))
+    return exact_median(of_keys(d, (), edges).select(ring.alias("ring"), "v"), ("ring",), "v").select("ring", "n", F.col("median").alias("mid"))
 
 
 @query(f"""SELECT l_returnflag, {RING} // 10 AS ring, count(*) AS n, round(avg((l_quantity > 45)::INT), 8) AS saturated, round(avg(l_quantity) FILTER (l_quantity <= 45), 6) AS mean, round(sqrt(avg((l_tax - l_discount) ** 2)), 8) AS fine FROM lineitem GROUP BY 1, 2""")
@@ -227,7 +231,9 @@ def agg14_composed(spark, sf_dir):
 @query(f"""WITH p AS (SELECT {RGB}, l_quantity / 20 AS radius FROM lineitem) SELECT round(median(g) / median(r), 8) AS red, 1.0::DOUBLE AS green, round(median(g) / median(b), 8) AS blue FROM p WHERE radius BETWEEN 1.15 AND 1.6 AND r < 90000""")
 def agg17_white_balance(spark, sf_dir):
     ring = colours(spark, sf_dir).where("radius between 1.15 and 1.6 and r < 90000")
-    return ring.agg(F.round(F.median("g") / F.median("r"), 8).alias("red"), F.lit(1.0).alias("green"), F.round(F.median("g") / F.median("b"), 8).alias("blue"))
+    long = ring.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in "rgb"])).alias("c")).select("c.*")
+    at = lambda c: F.max(F.when(F.col("channel") == c, F.col("median")))
+    return exact_median(long, ("channel",), "v").agg(F.round(at("g") / at("r"), 8).alias("red"), F.lit(1.0).alias("green"), F.round(at("g") / at("b"), 8).alias("blue"))
 
 
 @query("""WITH f AS (SELECT l_suppkey, CASE WHEN l_discount > 0.01 THEN l_extendedprice END AS f, l_quantity AS w FROM lineitem) SELECT l_suppkey, round(sum(f * w) / sum(CASE WHEN f IS NOT NULL THEN w END), 4) AS mean FROM f GROUP BY 1""")
@@ -299,25 +305,19 @@ def win18_contacts(spark, sf_dir):
     return e.groupBy("user_id").agg(of(F.max, "t < mid and sat").alias("before_last"), of(F.min, "t < mid and not sat").alias("before_first"), of(F.max, "t > mid and not sat").alias("after_last"), of(F.min, "t > mid and sat").alias("after_first"))
 
 
-def ordered(df, *keys, least: int = 5):
-    """The rows with their place in an order, cut to the first `least`: a top-k report, read off each partition's own top."""
-    top = df.orderBy(*keys).limit(least)
-    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys)))
-
-
-@query("""SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer ORDER BY 3 LIMIT 500""")
+@query("""SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer""")
 def srt01_by_key(spark, sf_dir):
-    return ordered(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", least=500)
+    return numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
 
 
-@query("""SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_suppkey, l_partkey, l_orderkey, l_linenumber) AS place FROM lineitem ORDER BY 5 LIMIT 500""")
+@query("""SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_suppkey, l_partkey, l_orderkey, l_linenumber) AS place FROM lineitem""")
 def srt02_by_several_keys(spark, sf_dir):
-    return ordered(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"), "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", least=500)
+    return numbered(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_linenumber"), "l_suppkey", "l_partkey", "l_orderkey", "l_linenumber")
 
 
-@query("""SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY abs(c_acctbal - 2500), c_custkey) AS place FROM customer ORDER BY 3 LIMIT 500""")
+@query("""SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY abs(c_acctbal - 2500), c_custkey) AS place FROM customer""")
 def srt03_by_size(spark, sf_dir):
-    return ordered(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.abs(F.col("c_acctbal") - 2500), "c_custkey", least=500)
+    return numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.abs(F.col("c_acctbal") - 2500), "c_custkey")
 
 
 @query("""SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 10""")

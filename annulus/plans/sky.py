@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from ..functions import scalar as S
 from ..operators import grid as G
 from ..operators import match as M
 from ..operators import rings as R
-from .catalogue import GRID, RING, grid, items, query, star_pairs, table
+from ..operators.raster import tile_map
+from .catalogue import GRID, ORACLE, RING, grid, items, query, star_pairs, table
 
 
 def rounded(digits: int = 6, **columns):
@@ -139,11 +141,11 @@ def joi10_seen(spark, sf_dir):
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", "c_nationkey")
 
 
-@query("""WITH a AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_suppkey % 3 <> 0), b AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH a AS (SELECT s_suppkey AS k, s_acctbal AS v FROM supplier WHERE s_acctbal > 1500), b AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_mktsegment < 'F')
 SELECT coalesce(a.k, b.k) AS key, coalesce(a.v, b.v) AS v, a.k IS NOT NULL AND b.k IS NOT NULL AS both_have FROM a FULL JOIN b ON a.k = b.k""")
 def joi11_fallback_merge(spark, sf_dir):
-    a = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("va"))
-    b = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("b"), F.col("c_acctbal").alias("vb"))
+    a = table(spark, sf_dir, "supplier").where("s_acctbal > 1500").select(F.col("s_suppkey").alias("a"), F.col("s_acctbal").alias("va"))
+    b = table(spark, sf_dir, "customer").where("c_mktsegment < 'F'").select(F.col("c_custkey").alias("b"), F.col("c_acctbal").alias("vb"))
     return a.join(b, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("key"), F.coalesce("va", "vb").alias("v"), (F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both_have"))
 
 
@@ -229,27 +231,51 @@ def agg18_block_median(spark, sf_dir):
 
 
 @query(f"""WITH g AS ({GRID}) SELECT s.y * 50 + s.x AS star, count(*) AS n, round(sum(g.value) FILTER (sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2) <= 1), 4) AS r1, round(sum(g.value) FILTER (sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2) <= 2), 4) AS r2, round(sum(g.value), 4) AS r3
-FROM g s JOIN g ON sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2) <= 3 WHERE (s.y * 50 + s.x) % 97 = 0 GROUP BY 1""")
+FROM g s JOIN g ON sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2) <= 3 GROUP BY 1""")
 def agg20_apertures(spark, sf_dir):
     g = grid(spark, sf_dir).withColumn("id", F.col("y") * 50 + F.col("x"))
-    near = M.radius_join(g.where("id % 97 = 0"), g, 3.0).join(g.select(F.col("id").alias("b_id"), "value"), "b_id")
+    near = M.radius_join(g, g, 3.0).join(g.select(F.col("id").alias("b_id"), "value"), "b_id")
     within = lambda r: F.sum(F.when(F.col("distance") <= r, F.col("value")))
     return near.groupBy(F.col("a_id").alias("star")).agg(F.count("*").alias("n"), *rounded(4, r1=within(1), r2=within(2), r3=F.sum("value")))
 
 
 def apertures(pixels, *, radii=20, annulus=(26, 40), least=40):
-    """Rows (star, n, background, f1 ...): every row of `pixels` (id, x, y, value) as the centre of `radii` apertures.
+    """Rows (star, n, background, f1 ...): every pixel of `pixels` (id, x, y, value), at whole x and y, as the centre of `radii` apertures.
 
     `background` is the median of the `n` pixels of the annulus and f_k the flux within k pixels above it; both are null where the
-    annulus has fewer than `least` pixels.
+    annulus has fewer than `least` pixels. Tiles with a halo as wide as the annulus are measured by themselves.
     """
-    near = M.radius_join(pixels, pixels, float(annulus[1])).join(pixels.select(F.col("id").alias("b_id"), F.col("value").cast("double").alias("value")), "b_id")
-    d, v = F.col("distance"), F.col("value")
-    ring = (d >= annulus[0]) & (d < annulus[1])
-    inside = [F.struct(F.count_if(d <= k).alias("n"), F.sum(F.when(d <= k, v)).alias("s")).alias(f"f{k}") for k in range(1, radii + 1)]
-    f = near.groupBy(F.col("a_id").alias("star")).agg(F.count_if(ring).alias("n"), F.median(F.when(ring, v)).alias("b"), *inside)
-    f = f.withColumn("background", F.when(F.col("n") >= least, F.col("b")))
-    return f.select("star", "n", *rounded(4, background=F.col("background"), **{f"f{k}": F.col(f"f{k}.s") - F.col("background") * F.col(f"f{k}.n") for k in range(1, radii + 1)}))
+    reach = int(annulus[1])
+    o = np.arange(-reach, reach + 1)
+    far = np.hypot(o[:, None], o[None, :])
+    dy, dx = (k - reach for k in np.nonzero(far <= reach))
+    order = np.argsort(far[dy + reach, dx + reach], kind="stable")
+    dy, dx = dy[order], dx[order]
+    d = far[dy + reach, dx + reach]
+    inner, ring = np.searchsorted(d, range(1, radii + 1), side="right"), (d >= annulus[0]) & (d < annulus[1])
+    out = ("n", "background", *(f"f{k}" for k in range(1, radii + 1)))
+
+    def measured(v, *_):
+        made = {c: np.full(v.shape, np.nan) for c in out}
+        y, x = np.nonzero(np.isfinite(v))
+        inside = (y >= reach) & (y < v.shape[0] - reach) & (x >= reach) & (x < v.shape[1] - reach)
+        for some in np.array_split(np.nonzero(inside)[0], 1 + inside.sum() // 256):
+            at = y[some], x[some]
+            near = v[at[0][:, None] + dy, at[1][:, None] + dx]
+            outer = np.sort(near[:, ring], axis=1)  # what is missing comes last
+            n = np.isfinite(outer).sum(axis=1)
+            middle = (outer[np.arange(len(n)), np.maximum(n - 1, 0) // 2] + outer[np.arange(len(n)), np.minimum(n // 2, outer.shape[1] - 1)]) / 2
+            back = np.where(n >= least, middle, np.nan)
+            there = np.isfinite(near[:, : inner[-1]])
+            total, count = np.cumsum(np.where(there, near[:, : inner[-1]], 0), axis=1), np.cumsum(there, axis=1)
+            made["n"][at], made["background"][at] = n, back
+            for k, end in enumerate(inner):
+                made[f"f{k + 1}"][at] = total[:, end - 1] - back * count[:, end - 1]
+        return made
+
+    f = tile_map(pixels, measured, halo=reach, out=out, size=64).withColumn("n", F.col("n").cast("long"))
+    star = pixels.select(F.col("id").alias("star"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    return f.join(star, ["y", "x"]).select("star", "n", *rounded(4, **{c: F.col(c) for c in out[1:]}))
 
 
 FLUXES = [(f"count(*) FILTER (d <= {k}) AS n{k}, sum(v) FILTER (d <= {k}) AS s{k}", f"round(s{k} - b * n{k}, 4) AS f{k}") for k in range(1, 21)]
@@ -262,6 +288,14 @@ def agg20_aperture_fluxes(spark, sf_dir):
     return apertures(grid(spark, sf_dir).withColumn("id", F.col("y") * 50 + F.col("x")))
 
 
+@query(f"""WITH f AS ({ORACLE["agg20_aperture_fluxes"]}), t AS (SELECT * FROM f WHERE f20 > 0 ORDER BY f20 DESC, star LIMIT 10), k AS ({" UNION ALL ".join(f"SELECT {k} AS radius, f{k} / f20 AS share FROM t" for k in range(1, 21))})
+SELECT radius, count(*) AS n, round(median(share), 6) AS growth FROM k GROUP BY 1""")
+def agg22_curve_of_growth(spark, sf_dir):
+    top = agg20_aperture_fluxes(spark, sf_dir).where("f20 > 0").orderBy(F.desc("f20"), "star").limit(10)
+    shares = F.posexplode(F.array(*[F.col(f"f{k}") / F.col("f20") for k in range(1, 21)])).alias("k", "share")
+    return top.select(shares).groupBy((F.col("k") + 1).alias("radius")).agg(F.count("*").alias("n"), F.round(F.median("share"), 6).alias("growth"))
+
+
 @query("""WITH h AS (SELECT p_size // 5 AS cx, CAST(floor(p_retailprice / 100) AS BIGINT) AS cy, count(*) AS n FROM part GROUP BY 1, 2)
 SELECT CAST(cx + i AS BIGINT) AS cx, cy + j AS cy, CAST(sum(n) AS BIGINT) AS votes FROM h, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j) GROUP BY 1, 2""")
 def agg25_smoothed_votes(spark, sf_dir):
