@@ -107,6 +107,16 @@ def gauss(pixels: DataFrame, sigma: float, *, keys: tuple[str, ...] = (), size:
     return tile_map(pixels, lambda v, *_: {"smooth": normalised(v, gauss_kernel(sigma))}, halo=gauss_reach(sigma), out=("smooth",), keys=keys, size=size)
 
 
+def local_spread(pixels: DataFrame, sigma: float, *, keys: tuple[str, ...] = (), size: int = TILE) -> DataFrame:
+    """Rows (*keys, y, x, spread): local standard deviation under a Gaussian, of the means of values and of squares."""
+
+    def spread(v: np.ndarray, *_) -> dict[str, np.ndarray]:
+        kernel = gauss_kernel(sigma)
+        return {"spread": np.sqrt(np.maximum(normalised(v * v, kernel) - normalised(v, kernel) ** 2, 0))}
+
+    return tile_map(pixels, spread, halo=gauss_reach(sigma), out=("spread",), keys=keys, size=size)
+
+
 def b3(pixels: DataFrame, step: int = 1, *, keys: tuple[str, ...] = (), size: int = TILE) -> DataFrame:
     """Rows (*keys, y, x, smooth): normalised B3 convolution, dilated by `step`."""
     return tile_map(pixels, lambda v, *_: {"smooth": normalised(v, B3)}, halo=2, out=("smooth",), keys=keys, size=size, step=step)

@@ -1,4 +1,4 @@
 """Named queries over the tables."""
 
-from . import estimates, frames, rasters, sky  # noqa: F401
+from . import around, estimates, frames, rasters, sky, texts  # noqa: F401
 from .catalogue import ORACLE, QUERIES  # noqa: F401

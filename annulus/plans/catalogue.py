@@ -217,9 +217,9 @@ def grid(spark, sf_dir):
 @query(f"""WITH g AS ({GRID}), k(o, k) AS (VALUES (-2, 0.0625::DOUBLE), (-1, 0.25), (0, 0.375), (1, 0.25), (2, 0.0625))
 SELECT g.y, g.x, round(sum(n.value * a.k * b.k) / sum(a.k * b.k), 6) AS smooth FROM g, k a, k b, g n WHERE n.x = g.x + a.o AND n.y = g.y + b.o GROUP BY 1, 2""")
 def stn17_b3_smooth(spark, sf_dir):
-    from ..operators.grid import b3_smooth
+    from ..operators.raster import b3
 
-    return b3_smooth(grid(spark, sf_dir)).withColumn("smooth", F.round("smooth", 6))
+    return b3(grid(spark, sf_dir)).withColumn("smooth", F.round("smooth", 6))
 
 
 @query(f"""WITH g AS ({GRID})

@@ -9,10 +9,11 @@ from ..functions import pixel as P
 from ..functions import scalar as S
 from ..operators import grid as G
 from ..operators import match as M
+from ..operators import raster as T
 from ..operators import rings as R
 from ..operators.order import numbered
-from ..operators.raster import of_keys
 from ..operators.quantiles import exact_median, exact_quantiles
+from ..operators.raster import of_keys
 from .catalogue import GRID, RING, grid, items, query, table
 from .sky import rounded
 
@@ -341,23 +342,23 @@ AROUND = f"g AS ({GRID}), k AS ({GAUSS}), s AS (SELECT g.y, g.x, any_value(g.val
 
 @query(f"""WITH {AROUND} SELECT y, x, round(m, 6) AS smooth FROM s""")
 def stn11_normalised_gauss(spark, sf_dir):
-    return G.gauss_smooth(grid(spark, sf_dir), 1.0).withColumn("smooth", F.round("smooth", 6))
+    return T.gauss(grid(spark, sf_dir), 1.0).withColumn("smooth", F.round("smooth", 6))
 
 
 @query(f"""WITH {AROUND} SELECT y, x, round(sqrt(greatest(q - m * m, 0)), 5) AS spread FROM s""")
 def stn12_local_spread(spark, sf_dir):
-    return G.local_spread(grid(spark, sf_dir), 1.0).withColumn("spread", F.round("spread", 5))
+    return T.local_spread(grid(spark, sf_dir), 1.0).withColumn("spread", F.round("spread", 5))
 
 
 @query(f"""WITH {AROUND} SELECT y, x, round(value - m, 6) AS fine FROM s""")
 def stn33_fine_band(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return g.join(G.gauss_smooth(g, 1.0), ["y", "x"]).select("y", "x", F.round(F.col("value") - F.col("smooth"), 6).alias("fine"))
+    return g.join(T.gauss(g, 1.0), ["y", "x"]).select("y", "x", F.round(F.col("value") - F.col("smooth"), 6).alias("fine"))
 
 
 @query(f"""WITH {AROUND}, f AS (SELECT y, x, value - m AS f, floor(sqrt((x - 24.5) ** 2 + (y - 20.25) ** 2) / 4) AS ring FROM s), m AS (SELECT ring, median(f) AS mid, count(*) AS n FROM f GROUP BY 1)
 SELECT CAST(f.ring AS BIGINT) AS ring, any_value(n) AS n, round(1.4826 * median(abs(f - mid)), 6) AS noise FROM f JOIN m ON f.ring = m.ring WHERE n >= 20 GROUP BY 1""")
 def agg42_ring_noise(spark, sf_dir):
     g = grid(spark, sf_dir)
-    fine = g.join(G.gauss_smooth(g, 1.0), ["y", "x"]).select(F.floor(P.distance(F.col("x"), F.col("y"), 24.5, 20.25) / 4).alias("ring"), (F.col("value") - F.col("smooth")).alias("fine"))
+    fine = g.join(T.gauss(g, 1.0), ["y", "x"]).select(F.floor(P.distance(F.col("x"), F.col("y"), 24.5, 20.25) / 4).alias("ring"), (F.col("value") - F.col("smooth")).alias("fine"))
     return R.robust(fine, ["ring"], "fine", least=20).select("ring", "n", F.round(R.MAD * F.col("mad"), 6).alias("noise"))

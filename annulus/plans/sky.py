@@ -10,7 +10,7 @@ from ..functions import scalar as S
 from ..operators import grid as G
 from ..operators import match as M
 from ..operators import rings as R
-from ..operators.raster import tile_map
+from ..operators.raster import b3, tile_map
 from .catalogue import GRID, ORACLE, RING, grid, items, query, star_pairs, table
 
 
@@ -457,7 +457,7 @@ def stn03_green_plane(spark, sf_dir):
 s AS (SELECT g.y, g.x, any_value(g.value) AS value, sum(n.value * a.k * b.k) / sum(a.k * b.k) AS smooth FROM g, k a, k b, g n WHERE n.x = g.x + a.o AND n.y = g.y + b.o GROUP BY 1, 2) SELECT y, x, round(value - smooth, 6) AS detail FROM s""")
 def stn13_high_pass(spark, sf_dir):
     g = grid(spark, sf_dir)
-    return g.join(G.b3_smooth(g), ["y", "x"]).select("y", "x", F.round(F.col("value") - F.col("smooth"), 6).alias("detail"))
+    return g.join(b3(g), ["y", "x"]).select("y", "x", F.round(F.col("value") - F.col("smooth"), 6).alias("detail"))
 
 
 @query("""WITH b AS (SELECT p_partkey, p_retailprice / 2500 AS b, p_size / 50.0 AS l FROM part), m AS (SELECT *, b + (b * l - b) * 0.5 AS c FROM b)
