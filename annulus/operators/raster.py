@@ -82,11 +82,11 @@ def along(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     return a
 
 
-def normalised(v: np.ndarray, kernel: np.ndarray) -> np.ndarray:
-    """Mean of what there is under the kernel, NaN where there is nothing."""
+def normalised(v: np.ndarray, kernel: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Mean of what there is under the kernel, NaN where there is nothing or less than a share `least` of its weight."""
     there = np.isfinite(v)
     weight = along(there.astype(np.float64), kernel)
-    return np.divide(along(np.where(there, v, 0.0), kernel), weight, out=np.full(v.shape, np.nan), where=weight > 1e-12)
+    return np.divide(along(np.where(there, v, 0.0), kernel), weight, out=np.full(v.shape, np.nan), where=weight > max(1e-12, least * kernel.sum() ** 2))
 
 
 def gauss_kernel(sigma: float) -> np.ndarray:

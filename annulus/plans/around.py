@@ -42,7 +42,7 @@ def doc04_rank_by_quantiles(spark, sf_dir):
     return R.rank_by_quantiles(placed(spark, sf_dir), width=6.0, sectors=8).select("id", F.round("rank", 6).alias("rank"))
 
 
-TURNS = "SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10000)::BIGINT AS ring, l_partkey % 360 AS angle, l_quantity AS v, 1.0::DOUBLE AS one, cos(radians(l_partkey % 360)) AS c1, sin(radians(l_partkey % 360)) AS s1 FROM lineitem"
+TURNS = "SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10000)::BIGINT AS ring, l_orderkey % 360 AS angle, l_quantity AS v, 1.0::DOUBLE AS one, cos(radians(l_orderkey % 360)) AS c1, sin(radians(l_orderkey % 360)) AS s1 FROM lineitem"
 SPREAD = "(SELECT d.*, abs(v - f.c1 - f.c2 * d.c1 - f.c3 * d.s1) AS off FROM d JOIN f USING (ring))"
 
 
@@ -58,7 +58,7 @@ q AS (SELECT quantile_cont(abs(b), 0.05) AS floor FROM z)
 SELECT l_orderkey, l_linenumber, round((v - a) / greatest(b, floor, 1e-12), 6) AS fnrgf FROM z, q""")
 def win06_fourier_rings(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
-    d = d.select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.floor(F.col("l_extendedprice") / 10000).alias("ring"), F.pmod("l_partkey", F.lit(360)).alias("angle"), F.col("l_quantity").alias("v"))
+    d = d.select(F.struct("l_orderkey", "l_linenumber").alias("id"), F.floor(F.col("l_extendedprice") / 10000).alias("ring"), F.pmod("l_orderkey", F.lit(360)).alias("angle"), F.col("l_quantity").alias("v"))
     return R.fourier_normalised(d, order=1).select("id.l_orderkey", "id.l_linenumber", F.round("fnrgf", 6).alias("fnrgf"))
 
 
