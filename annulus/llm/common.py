@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import uuid
@@ -54,6 +56,20 @@ def block_of(key: str, n: int, text: str | None = None):
     return F.pmod(h, F.lit(n)).cast("int")
 
 
+def lean(result=None):
+    """`result`, after what a task no longer needs has gone back to the system: workers stay alive between tasks, and with them what they once held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+    return result
+
+
+def lean_batches(batches):
+    """The batches of a task, then `lean`."""
+    yield from batches
+    lean()
+
+
 def squeeze_bytes(raw: bytes) -> bytes:
     return zstandard.ZstdCompressor(3).compress(raw)
 
@@ -98,7 +114,7 @@ def deal(docs: DataFrame, n: int, key: str = "id", text: str = "text") -> DataFr
             del b, out
             pa.default_memory_pool().release_unused()
 
-    return docs.withColumn("block", block_of(key, n, text)).mapInArrow(pack, "block int, rows binary").repartition("block")
+    return docs.withColumn("block", block_of(key, n, text)).mapInArrow(lambda b: lean_batches(pack(b)), "block int, rows binary").repartition("block")
 
 
 def undeal(table: pa.Table) -> pa.Table:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean_batches
 
 SPECIAL = "<|endoftext|>"
 
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(lambda b: lean_batches(run(b)), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def knapsack(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_of, blocks_for, cut, deal, squeeze_bytes, undeal, unsqueeze_bytes
+from .common import block_of, blocks_for, cut, deal, lean, squeeze_bytes, undeal, unsqueeze_bytes
 
 #: Symbols of the model beside the characters of a text: before its start, after its end, and for a word that repeats the one before.
 START, END, AGAIN = "\ue000", "\ue001", "\ue002"
@@ -155,12 +155,12 @@ def perplexities(docs: DataFrame, train: DataFrame, *, id: str, text: str, keep:
         nll = -np.bincount(g.doc, weights=logp[g.gram], minlength=table.num_rows) / np.maximum(g.counts, 1)
         return pa.table({"id": table.column("id"), **{f"keep_{c}": table.column(f"keep_{c}") for c in keep}, "n": pa.array(g.counts, pa.int64()), "nll": pa.array(nll, pa.float64())})
 
-    asks = d.groupBy("block").cogroup(train.groupBy("block")).applyInArrow(ask, "block int, shard int, grams binary, counts binary").repartition("shard")
-    model = kneser_ney(cut(asks.groupBy("shard").applyInArrow(count, "gram string, c long")), order)
+    asks = d.groupBy("block").cogroup(train.groupBy("block")).applyInArrow(lambda k, t, a: lean(ask(k, t, a)), "block int, shard int, grams binary, counts binary").repartition("shard")
+    model = kneser_ney(cut(asks.groupBy("shard").applyInArrow(lambda t: lean(count(t)), "gram string, c long")), order)
     model = model.withColumn("shard", F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(shards)).cast("int"))
-    answers = asks.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "block int, shard int, logp binary")
+    answers = asks.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(lambda t, m: lean(answer(t, m)), "block int, shard int, logp binary")
     fields = ", ".join(["id long", *[f"`keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], "n long", "nll double"])
-    return d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, fields)
+    return d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: lean(score(t, a)), fields)
 
 
 def classify(

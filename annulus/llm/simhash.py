@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Words, components, cut, forest, mixed, portions, powers, stored
+from .common import BASES, Words, components, cut, forest, lean, lean_batches, mixed, portions, powers, stored
 
 #: Quarters of a fingerprint whose population counts name its tile.
 PARTS, WIDTH = 4, 16
@@ -142,7 +142,7 @@ def with_nodes(docs: DataFrame, text: str, k: int, *, keep_text: bool = True) ->
             node = np.array([node_of(h) for h in shingle_sets(batch.column(text).to_pylist(), k)], dtype=np.uint64)
             yield batch.select([f.name for f in kept]).append_column("node", pa.array(node.view(np.int64)))
 
-    return docs.mapInArrow(number, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "node long")
+    return docs.mapInArrow(lambda b: lean_batches(number(b)), "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "node long")
 
 
 def similar_texts(docs: DataFrame, *, text: str = "text", k: int = 5, least: float = 0.8, tile: int = 512) -> DataFrame:
@@ -241,7 +241,7 @@ def text_roots(docs: DataFrame, *, text: str = "text", k: int = 5, least: float
                 root[root == root[x]] = root[i]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    nodes = stored(docs.select(text).mapInArrow(sign, "node long, size int, bands array<long>, signature binary").dropDuplicates(["node"]))
+    nodes = stored(docs.select(text).mapInArrow(lambda b: lean_batches(sign(b)), "node long, size int, bands array<long>, signature binary").dropDuplicates(["node"]))
     signatures = nodes.select("node", "signature")
     rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     members = stored(rows.join(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket").withColumn("root", F.col("node")))
@@ -251,7 +251,7 @@ def text_roots(docs: DataFrame, *, text: str = "text", k: int = 5, least: float
     def confirmed(near):
         near = near.distinct()
         near = near.join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b")
-        return stored(near.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long"))
+        return stored(near.select("a", "b", "x", "y").mapInArrow(lambda b: lean_batches(confirm(b)), "a long, b long"))
 
     edges = None
     for last in (False, True):
@@ -260,7 +260,7 @@ def text_roots(docs: DataFrame, *, text: str = "text", k: int = 5, least: float
         pairs = pairs.select(F.least("node", "a_node").alias("a"), F.greatest("node", "a_node").alias("b")).distinct()
         for side in ("a", "b"):
             pairs = pairs.join(signatures.select(F.col("node").alias(side), F.col("signature").alias(f"{side}_signature")), side)
-        found = confirmed(pairs.select("a", "b", "a_signature", "b_signature").mapInArrow(screen, "a long, b long"))
+        found = confirmed(pairs.select("a", "b", "a_signature", "b_signature").mapInArrow(lambda b: lean_batches(screen(b)), "a long, b long"))
         edges = found if edges is None else edges.union(found)
         # Nodes of one root are connected. After the first pass the least pivot that a node is linked to will do.
         roots = components(edges) if last else found.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
@@ -273,13 +273,13 @@ def text_roots(docs: DataFrame, *, text: str = "text", k: int = 5, least: float
     per = members.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
     groups = stored(members.join(per, "bucket").select("main", "node", "size", "root").distinct())
     parts = groups.groupBy("main").agg(F.ceil(F.sum((F.col("root") != F.col("main")).cast("int")) / tile).cast("int").alias("lefts"), F.ceil(F.count("*") / tile).cast("int").alias("rights")).where("lefts > 0")
-    sets = texts.join(groups.select("node").distinct(), "node").mapInArrow(hashes, "node long, hashes binary")
+    sets = texts.join(groups.select("node").distinct(), "node").mapInArrow(lambda b: lean_batches(hashes(b)), "node long, hashes binary")
     m = groups.join(parts, "main").join(signatures, "node").join(sets, "node").withColumn("part", F.xxhash64("node"))
     columns = ["main", "node", "size", "root", "signature", "hashes"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = m.where("root <> main").select(*columns, F.lit(True).alias("left"), F.pmod("part", "lefts").cast("int").alias("i"), every("rights").alias("j"))
     right = m.select(*columns, F.lit(False).alias("left"), every("lefts").alias("i"), F.pmod("part", "rights").cast("int").alias("j"))
-    more = left.union(right).groupBy("main", "i", "j").applyInArrow(square, "a long, b long").distinct()
+    more = left.union(right).groupBy("main", "i", "j").applyInArrow(lambda t: lean(square(t)), "a long, b long").distinct()
     for side in ("a", "b"):  # links between components
         more = more.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
     merged = components(more).select(F.col("node").alias("of"), F.col("root").alias("into"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Words, block_of, blocks_for
+from .common import Words, block_of, blocks_for, lean
 
 #: Odd multipliers of the sketch's rows.
 ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -202,11 +202,11 @@ def repeated_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
         return pa.table([ids, pa.array(w.words.counts), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *(rest.column(f"carry_{c}") for c in carry)], schema=kept_schema)
 
     kept_schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), *to_arrow_schema(d.select(*[f"carry_{c}" for c in carry]).schema)])
-    cells = d.groupBy("block").applyInArrow(ask, "block int, line int, segment long, cells binary")
-    hits = cells.groupBy("line", "segment").applyInArrow(merge, "block int, line int, segment long, hit binary")
-    sent = d.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(send, "block int, shard int, low binary, high binary, id binary, start binary")
-    later = sent.groupBy("shard").applyInArrow(group, "block int, low binary, high binary")
-    return d.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(strip, f"id long, n_words long, n_removed long, kept string{fields}").select(F.col("id").alias(id), "n_words", "n_removed", "kept", *[F.col(f"carry_{c}").alias(c) for c in carry])
+    cells = d.groupBy("block").applyInArrow(lambda t: lean(ask(t)), "block int, line int, segment long, cells binary")
+    hits = cells.groupBy("line", "segment").applyInArrow(lambda t: lean(merge(t)), "block int, line int, segment long, hit binary")
+    sent = d.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(lambda k, t, a: lean(send(k, t, a)), "block int, shard int, low binary, high binary, id binary, start binary")
+    later = sent.groupBy("shard").applyInArrow(lambda t: lean(group(t)), "block int, low binary, high binary")
+    return d.groupBy("block").cogroup(later.groupBy("block")).applyInArrow(lambda t, a: lean(strip(t, a)), f"id long, n_words long, n_removed long, kept string{fields}").select(F.col("id").alias(id), "n_words", "n_removed", "kept", *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:
