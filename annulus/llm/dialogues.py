@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -26,8 +25,7 @@ FAR = 1 << 50
 END, BEGIN = [0, FAR, FAR, 0], [0, FAR, FAR, FAR]
 
 
-@lru_cache
-def arcs(initial: str, fault: str) -> tuple[tuple[str, int, int, int, str | None], ...]:
+def arcs_of(initial: str, fault: str) -> tuple[tuple[str, int, int, int, str | None], ...]:
     """Arcs (letter, state, next state, cost, role given) over a turn, by letter."""
     out = [("D", q, q, DELETE, None) for q in range(4)]
     if fault not in ("blank", "duplicate"):
@@ -38,6 +36,14 @@ def arcs(initial: str, fault: str) -> tuple[tuple[str, int, int, int, str | None
     return tuple(out)
 
 
+#: The arcs by initial and fault; other initials than these three are all alike. A plain table travels to executors with the functions.
+ARCS = {(initial, fault): arcs_of(initial, fault) for initial in "sua?" for fault in ("", "blank", "duplicate", "truncated")}
+
+
+def arcs(initial: str, fault: str) -> tuple[tuple[str, int, int, int, str | None], ...]:
+    return ARCS[initial if initial in ("s", "u", "a") else "?", fault]
+
+
 def backwards(turns: list[tuple[str, str]], end: list[int]) -> list[list[int]]:
     """Least costs from each place and state on to the end, whose costs are given; inserts come before the turn at their place."""
     out = [end]
