@@ -44,6 +44,42 @@ def solved(df: DataFrame, keys: tuple[str, ...], y: str, xs: tuple[str, ...]) ->
     return d.mapInArrow(solve, ", ".join([*kinds, "n long", "coef array<double>", "covariance array<double>", "spread double"]))
 
 
+def compared(df: DataFrame, y: str, models: dict[str, tuple[str, ...]], *, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (*keys, model, n, coef, errors, rms): least squares of y on the columns of each model, on the rows that have all columns of all models.
+
+    The sums of products of all columns are made in one pass, and each model is solved from its part of them, so that models are compared on the same rows and a further
+    one costs no further pass. rms is over n less the number of columns; errors of a singular model are null.
+    """
+    xs = tuple(dict.fromkeys(c for m in models.values() for c in m))
+    k = len(xs)
+    d = df.where(" and ".join(f"`{c}` is not null and not isnan(cast(`{c}` as double))" for c in (y, *xs)))
+    product = lambda a, b: F.sum(F.col(a).cast("double") * F.col(b))
+    sums = F.array(*[product(a, b) for a in xs for b in xs], *[product(a, y) for a in xs], product(y, y))
+    d = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sums.alias("sums"))
+
+    def solve(batches):
+        many = pa.list_(pa.float64())
+        for b in batches:
+            rows = []
+            for at, (n, s) in enumerate(zip(b.column("n").to_pylist(), b.column("sums").to_pylist())):
+                if not n:
+                    continue
+                whole, right = np.array(s[: k * k]).reshape(k, k), np.array(s[k * k : -1])
+                for name, columns in models.items():
+                    own = [xs.index(c) for c in columns]
+                    a, r = whole[np.ix_(own, own)], right[own]
+                    c = np.linalg.lstsq(a, r, rcond=None)[0]
+                    variance = max(s[-1] - 2 * c @ r + c @ a @ c, 0.0) / max(n - len(own), 1)
+                    errors = np.sqrt(variance * np.diag(np.linalg.inv(a))).tolist() if np.linalg.matrix_rank(a) == len(own) else None
+                    rows.append((at, name, n, c.tolist(), errors, float(np.sqrt(variance))))
+            index, *rest = zip(*rows) if rows else ([], [], [], [], [], [])
+            kinds = (pa.string(), pa.int64(), many, many, pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(index, pa.int64())) for c in keys), *(pa.array(x, t) for x, t in zip(rest, kinds))], names=[*keys, "model", "n", "coef", "errors", "rms"])
+
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys]
+    return d.mapInArrow(solve, ", ".join([*kinds, "model string, n long, coef array<double>, errors array<double>, rms double"]))
+
+
 def predicted(xs: tuple[str, ...]) -> Column:
     """The value of a fit `coef` at the columns xs."""
     return sum((F.col("coef")[k] * F.col(x) for k, x in enumerate(xs)), F.lit(0.0))

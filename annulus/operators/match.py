@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def radius_join(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """Pairs (a_id, b_id, distance) of rows (id, x, y) at most `radius` apart.
@@ -56,3 +58,21 @@ def vote(a: DataFrame, b: DataFrame, *, brightest: int, bin: float, reach: float
     p = b.withColumn("one", F.lit(1)).join(F.broadcast(top), "one").select("x", "y", F.explode("top").alias("t")).select((F.col("x") - F.col("t.x")).alias("dx"), (F.col("y") - F.col("t.y")).alias("dy"))
     near = p.where((F.abs(F.col("dx")) <= reach) & (F.abs(F.col("dy")) <= reach))
     return near.groupBy(F.floor(F.col("dx") / bin).alias("cx"), F.floor(F.col("dy") / bin).alias("cy")).agg(F.count("*").alias("votes"))
+
+
+def refined_shift(a: DataFrame, b: DataFrame, start: DataFrame, tolerances: tuple[float, ...]) -> DataFrame:
+    """One row (dx, dy, matched): the shift from list `a` to list `b` (id, x, y), from the row (dx, dy) of `start` on.
+
+    For each tolerance in turn, rows of `b` moved back by the shift meet the nearest rows of `a` within it, and the medians of their offsets are the next shift. A round with fewer than
+    three matches keeps the shift it began with. Matches are found on cells; offsets of one pair of lists are few, their medians exact.
+    """
+    shift = cut(start.select(F.col("dx").cast("double").alias("dx"), F.col("dy").cast("double").alias("dy"), F.lit(0).cast("long").alias("matched")))
+    for tolerance in tolerances:
+        back = b.join(F.broadcast(shift), F.lit(True)).select("id", (F.col("x") - F.col("dx")).alias("x"), (F.col("y") - F.col("dy")).alias("y"))
+        pairs = nearest(radius_join(a, back, tolerance), 1)
+        ends = pairs.join(a.select(F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay")), "a_id").join(b.select(F.col("id").alias("b_id"), "x", "y"), "b_id")
+        found = ends.agg(F.median(F.col("x") - F.col("ax")).alias("nx"), F.median(F.col("y") - F.col("ay")).alias("ny"), F.count("*").alias("n"))
+        enough = F.col("n") >= 3
+        moved = [F.when(enough, F.col(n)).otherwise(F.col(o)).alias(o) for n, o in (("nx", "dx"), ("ny", "dy"))]
+        shift = cut(shift.join(F.broadcast(found), F.lit(True)).select(*moved, F.when(enough, F.col("n")).otherwise(F.col("matched")).alias("matched")))
+    return shift

@@ -1,9 +1,9 @@
-"""Block bootstraps as replicate weights, and errors of statistics from them; Theil-Sen slopes without pairs."""
+"""Block bootstraps as replicate weights, and errors of statistics from them."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,8 +65,8 @@ def dipole(cells: DataFrame, *, zenith: float, block: int = 10, replicates: int
     enough = d.groupBy(*keys).agg(F.count("*").alias("n_finite")).where(F.col("n_finite") >= least)
     d = d.join(enough.select(*keys), list(keys), "left_semi") if keys else d
     fit, kept = robust_linear(d, "v", names, keys=keys, clip=3.0, rounds=4, again=True, about_median=False, carry=("block",))
-    z = float(np.radians(zenith))
-    to, across = lambda c: c[1] * float(np.cos(z)) + c[2] * float(np.sin(z)), lambda c: -c[1] * float(np.sin(z)) + c[2] * float(np.cos(z))
+    z = math.radians(zenith)
+    to, across = lambda c: c[1] * math.cos(z) + c[2] * math.sin(z), lambda c: -c[1] * math.sin(z) + c[2] * math.cos(z)
     # Blocks are drawn among those of all finite cells; cells that the fit dropped then take no part.
     w = cut(block_weights(d, replicates, keys=keys, salt=salt))
     again = kept.where("kept").join(w, [*keys, "block"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
@@ -75,16 +75,3 @@ def dipole(cells: DataFrame, *, zenith: float, block: int = 10, replicates: int
     c = F.col("coef")
     base = fit.select(*keys, "n", to(c).alias("to_zenith"), across(c).alias("across"), F.hypot(c[1], c[2]).alias("amplitude"), F.pmod(F.degrees(F.atan2(c[2], c[1])), F.lit(360.0)).alias("direction"))
     return of_keys(of_keys(base, keys, errors), keys, enough)
-
-
-def inversions(r: np.ndarray) -> int:
-    """Pairs i < j with r[i] >= r[j] of distinct-rank input, by merging sorted halves."""
-    n, total, width = len(r), 0, 1
-    r = np.array(r)
-    while width < n:
-        for a in range(0, n - width, 2 * width):
-            left, right = r[a : a + width], r[a + width : min(a + 2 * width, n)]
-            total += int((len(left) - np.searchsorted(left, right, side="left")).sum())
-            r[a : a + 2 * width] = np.sort(r[a : min(a + 2 * width, n)], kind="stable")
-        width *= 2
-    return total

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fits as X
+from ..operators import match as M
 from ..operators import resample as S
 from .catalogue import GRID, grid, query, table
 from .sky import rounded
@@ -106,7 +107,6 @@ def agg33_paired_ratios(spark, sf_dir):
 
 ZENITH = 40.0
 TURN = f"cos(radians({ZENITH}))", f"sin(radians({ZENITH}))"
-BEST = "SELECT l_returnflag, replicate, {} FROM {}"
 
 
 @query(f"""WITH c AS (SELECT l_returnflag, cell, (cell // 10)::DOUBLE AS block, ln(y / x) AS v, 1.0::DOUBLE AS one, cos(radians(cell)) AS co, sin(radians(cell)) AS si FROM ({CELLS})),
@@ -120,3 +120,34 @@ def agg36_dipole(spark, sf_dir):
     d = S.dipole(c, zenith=ZENITH, replicates=100, keys=("l_returnflag",))
     named = ("to_zenith", "to_zenith_err", "across", "across_err", "amplitude")
     return d.select("l_returnflag", "n", "n_finite", *rounded(7, **{k: F.col(k) for k in named}), F.round("direction", 5).alias("direction"))
+
+
+@query(f"""WITH st AS (SELECT *, 1.0::DOUBLE AS one, -airmass AS ma, -colour AS mc FROM ({STARS})), {fit3_sql("f", "st", "l_returnflag", ("one", "ma", "mc"), "mag")},
+a AS (SELECT l_returnflag, 'constant' AS model, count(*) AS n, avg(mag) AS zero_point, sqrt(var_samp(mag)) AS rms FROM st GROUP BY 1),
+b AS (SELECT l_returnflag, 'extinction' AS model, count(*) AS n, regr_intercept(mag, ma) AS zero_point, sqrt((regr_syy(mag, ma) - regr_sxy(mag, ma) ** 2 / regr_sxx(mag, ma)) / (count(*) - 2)) AS rms FROM st GROUP BY 1),
+c AS (SELECT l_returnflag, 'extinction and colour' AS model, any_value(n) AS n, any_value(c1) AS zero_point, sqrt(sum((mag - c1 - c2 * ma - c3 * mc) ** 2) / (any_value(n) - 3)) AS rms FROM st JOIN f USING (l_returnflag) GROUP BY 1)
+SELECT l_returnflag, model, n, round(zero_point, 7) AS zero_point, round(rms, 7) AS rms FROM (FROM a UNION ALL FROM b UNION ALL FROM c)""")
+def agg27_nested_models(spark, sf_dir):
+    models = {"constant": ("one",), "extinction": ("one", "minus_airmass"), "extinction and colour": ("one", "minus_airmass", "minus_colour")}
+    d = X.compared(stars(spark, sf_dir), "mag", models, keys=("l_returnflag",))
+    return d.select("l_returnflag", "model", "n", *rounded(7, zero_point=F.col("coef")[0], rms=F.col("rms")))
+
+
+LISTS = """a AS (SELECT s_suppkey AS id, s_acctbal / 10 AS x, s_nationkey * 20.0 AS y FROM supplier), b AS (SELECT id, x + 7.3 + 0.02 * y AS x, y - 4.1 + 0.01 * x AS y FROM a)"""
+
+
+def shift_sql(tolerances: tuple[float, ...]) -> str:
+    parts = [f"{LISTS}, z0 AS (SELECT 6.0::DOUBLE AS dx, -3.0::DOUBLE AS dy, 0::BIGINT AS matched)"]
+    for k, t in enumerate(tolerances):
+        parts.append(f"p{k} AS (SELECT a.id, b.x - a.x AS ox, b.y - a.y AS oy, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((b.x - dx - a.x) ** 2 + (b.y - dy - a.y) ** 2), b.id) AS n FROM a, b, z{k} WHERE sqrt((b.x - dx - a.x) ** 2 + (b.y - dy - a.y) ** 2) <= {t})")
+        parts.append(f"q{k} AS (SELECT median(ox) AS nx, median(oy) AS ny, count(*) AS n FROM p{k} WHERE n = 1), z{k + 1} AS (SELECT CASE WHEN n >= 3 THEN nx ELSE dx END AS dx, CASE WHEN n >= 3 THEN ny ELSE dy END AS dy, CASE WHEN n >= 3 THEN n ELSE matched END AS matched FROM z{k}, q{k})")
+    return f"WITH {', '.join(parts)} SELECT round(dx, 6) AS dx, round(dy, 6) AS dy, matched FROM z{len(tolerances)}"
+
+
+@query(shift_sql((6.0, 3.0, 1.8)))
+def joi15_refined_shift(spark, sf_dir):
+    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 10).alias("x"), (F.col("s_nationkey") * 20.0).alias("y"))
+    b = a.select("id", (F.col("x") + 7.3 + 0.02 * F.col("y")).alias("x"), (F.col("y") - 4.1 + 0.01 * F.col("x")).alias("y"))
+    start = spark.createDataFrame([(6.0, -3.0)], "dx double, dy double")
+    d = M.refined_shift(a, b, start, (6.0, 3.0, 1.8))
+    return d.select(*rounded(dx=F.col("dx"), dy=F.col("dy")), "matched")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import stack as S
 from ..operators.lineage import cut
 from ..operators.raster import gauss_kernel, gauss_reach
-from .catalogue import GRID, grid, query
+from .catalogue import GRID, grid, query, table
 from .sky import rounded
 
 #: Fixed: three exposures of a scene on a shifted, slightly turned sensor; (frame, exposure, background, scale, affine map, moon x, moon y).
@@ -94,3 +94,17 @@ def stack(spark, sf_dir, band):
     samples = cut(S.resampled(S.calibrated(raw, f), f, canvas, size=64))
     d = S.stacked(samples, f, guard=GUARD, fade=FADE, band=band, size=64)
     return d.select("y", "x", *rounded(5, r=F.col("r"), g=F.col("g"), b=F.col("b")), "valid", *rounded(7, **{c: F.col(c) for c in ("support", "coverage", "weight", "alpha")}))
+
+
+PLANES = "SELECT l_linenumber AS frame, l_partkey // 50 AS y, l_partkey % 50 AS x, max(l_quantity) AS v FROM lineitem GROUP BY ALL"
+
+
+@query(f"""WITH p AS (SELECT frame, y, x, v::DOUBLE AS v FROM ({PLANES})), o AS (SELECT i.range - 1 AS i, j.range - 1 AS j FROM range(3) i, range(3) j), r AS (SELECT i.range - 2 AS i, j.range - 2 AS j FROM range(5) i, range(5) j),
+wide AS (SELECT DISTINCT frame, y + i AS y, x + j AS x FROM p, r),
+m AS (SELECT w.frame, w.y, w.x, any_value(coalesce(s.v, 0)) AS own, median(coalesce(n.v, 0)) AS mid FROM wide w CROSS JOIN o LEFT JOIN p n ON n.frame = w.frame AND n.y = w.y + i AND n.x = w.x + j LEFT JOIN p s ON s.frame = w.frame AND s.y = w.y AND s.x = w.x GROUP BY ALL),
+e AS (SELECT p.frame, p.y, p.x, median(abs(m.own - m.mid)) AS mad, count(q.v) AS there FROM p CROSS JOIN r JOIN m ON m.frame = p.frame AND m.y = p.y + i AND m.x = p.x + j LEFT JOIN p q ON q.frame = p.frame AND q.y = p.y + i AND q.x = p.x + j GROUP BY ALL),
+z AS (SELECT e.y, e.x, CASE WHEN there = 25 THEN (own - mid) / greatest(1.4826 * mad, sqrt(greatest(mid, 0) + 1), 1e-6) END AS z FROM e JOIN m USING (frame, y, x))
+SELECT y, x FROM z GROUP BY 1, 2 HAVING count(z) >= 3 AND greatest(count(*) FILTER (z > 0.3), count(*) FILTER (z < -0.3)) >= 0.8 * count(z)""")
+def fil04_hot_pixels(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("frame"), F.floor(F.col("l_partkey") / 50).alias("y"), F.pmod("l_partkey", F.lit(50)).alias("x")).agg(F.max("l_quantity").alias("value"))
+    return S.hot_pixels(d, threshold=0.3, read_noise=1.0, size=64)

@@ -150,3 +150,35 @@ def test_numbers_follow_a_global_order(spark):
     got = numbered(spark.createDataFrame(rows, "k long, v long").repartition(7), F.desc("v"), "k").collect()
     want = {k: n + 1 for n, (k, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}
     assert {x.k: x.place for x in got} == want
+
+
+def test_shift_is_refined_and_kept_without_matches(spark):
+    from annulus.operators.match import refined_shift
+
+    r = random.Random(6)
+    stars = [(k, r.uniform(0, 400), r.uniform(0, 400)) for k in range(120)]
+    moved = [(k, x + 12.25 + r.gauss(0, 0.05), y - 7.5 + r.gauss(0, 0.05)) for k, x, y in stars[:100]] + [(500 + k, r.uniform(0, 400), r.uniform(0, 400)) for k in range(30)]
+    a, b = (spark.createDataFrame(x, "id long, x double, y double") for x in (stars, moved))
+    start = lambda dx, dy: spark.createDataFrame([(dx, dy)], "dx double, dy double")
+    got = refined_shift(a, b, start(10.5, -6.5), (4.0, 1.8, 0.5)).first()
+    assert abs(got.dx - 12.25) < 0.03 and abs(got.dy + 7.5) < 0.03 and 95 <= got.matched <= 105
+    lost = refined_shift(a, b.limit(2), start(900.0, 0.0), (3.0,)).first()
+    assert (lost.dx, lost.dy, lost.matched) == (900.0, 0.0, 0)
+
+
+def test_nested_models_are_compared_on_the_same_rows(spark):
+    from annulus.operators.fits import compared
+
+    rng = np.random.default_rng(7)
+    a = np.stack([np.ones(90), rng.normal(0, 1, 90), rng.normal(0, 1, 90)], 1)
+    y = a @ [1.0, 2.0, 0.0] + rng.normal(0, 0.1, 90)
+    rows = [("k", float(v), *map(float, x)) for v, x in zip(y, a)] + [("k", 1.0, 1.0, None, 2.0), ("one", 3.0, 1.0, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "k string, v double, one double, p double, q double")
+    models = {"constant": ("one",), "line": ("one", "p"), "both": ("one", "p", "q")}
+    got = {(r.k, r.model): r for r in compared(df, "v", models, keys=("k",)).collect()}
+    for name, n in (("constant", 1), ("line", 2), ("both", 3)):
+        c, rss, *_ = np.linalg.lstsq(a[:, :n], y, rcond=None)
+        r = got["k", name]
+        assert r.n == 90 and np.allclose(r.coef, c) and r.rms == pytest.approx(math.sqrt(rss[0] / (90 - n)), rel=1e-6)
+        assert np.allclose(r.errors, np.sqrt(rss[0] / (90 - n) * np.diag(np.linalg.inv(a[:, :n].T @ a[:, :n]))), rtol=1e-6)
+    assert got["one", "both"].errors is None and len(got) == 6
