@@ -126,7 +126,7 @@ def stn19_whitened(spark, sf_dir):
 
 
 @query(whitened_sql(3, True))
-def stn20_whitened_edges(spark, sf_dir):
+def stn19_whitened_edges(spark, sf_dir):
     return T.whitened(grid(spark, sf_dir), 3, cut, edges=True, size=64).select("y", "x", F.round("wow", 5).alias("wow"))
 
 
