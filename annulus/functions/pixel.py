@@ -36,8 +36,9 @@ def display_byte(x: Column, lo: float, hi: float, gamma: float = 1.0) -> Column:
 
 
 def layer_alpha(alpha: Column, observed: Column) -> Column:
-    """The base's alpha where there are data, else 0."""
-    return F.when(observed, alpha).otherwise(F.lit(0.0))
+    """The base's alpha where there are data, else 0; an alpha that is null, NaN or not from 0 to 1 makes the query fail when it runs."""
+    good = alpha.isNotNull() & ~F.isnan(alpha) & alpha.between(0, 1)
+    return F.when(~F.coalesce(good, F.lit(False)), F.raise_error(F.lit("alpha must be finite and from 0 to 1")).cast("double")).when(observed, alpha).otherwise(F.lit(0.0))
 
 
 def display_chroma(rgb: tuple[Column, Column, Column], luminance, gamma: float, limits: tuple[float, float] = (0.2, 3.0)) -> list[Column]:

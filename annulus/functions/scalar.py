@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ def clip(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
 
 
-def position_angle(dx: Column, dy: Column, north: float = 0.0) -> Column:
-    """Degrees from north through east of a vector in image axes (y down)."""
-    return F.pmod(F.lit(north) - F.degrees(F.atan2(dx, -dy)), F.lit(360.0))
+def position_angle(dx: Column, dy: Column, north: float = 0.0, mirrored: bool = False) -> Column:
+    """Degrees from north through east of a vector in image axes (y down); in a mirrored image east lies clockwise."""
+    turned = F.degrees(F.atan2(dx, -dy))
+    return F.pmod(turned - F.lit(north) if mirrored else F.lit(north) - turned, F.lit(360.0))
 
 
 def smoothstep(x: Column, lo: float, hi: float) -> Column:
@@ -49,9 +52,57 @@ def magnitude(flux: Column) -> Column:
     return F.when(flux > 0, -2.5 * F.log10(flux))
 
 
-def image_angle(pa: Column, north: float = 0.0) -> Column:
+def image_angle(pa: Column, north: float = 0.0, mirrored: bool = False) -> Column:
     """The inverse of `position_angle`: degrees in image axes."""
-    return F.pmod(F.lit(north) - pa, F.lit(360.0))
+    return F.pmod(F.lit(north) + pa if mirrored else F.lit(north) - pa, F.lit(360.0))
+
+
+def unit(axis: tuple[float, float]) -> tuple[float, float]:
+    size = math.hypot(*axis)
+    return axis[0] / size, axis[1] / size
+
+
+def frame_to_pixel(radius: Column, angle: Column, centre: tuple[float, float], scale: float, north: tuple[float, float], east: tuple[float, float]) -> tuple[Column, Column]:
+    """(x, y) of a radius in units of `scale` pixels and an angle from north to east, whose directions in the image need not be square to each other."""
+    n, e = unit(north), unit(east)
+    a, b = radius * F.cos(F.radians(angle)), radius * F.sin(F.radians(angle))
+    return centre[0] + scale * (a * n[0] + b * e[0]), centre[1] + scale * (a * n[1] + b * e[1])
+
+
+def pixel_to_frame(x: Column, y: Column, centre: tuple[float, float], scale: float, north: tuple[float, float], east: tuple[float, float]) -> tuple[Column, Column]:
+    """(radius, angle) of a pixel: the exact inverse of `frame_to_pixel`."""
+    n, e = unit(north), unit(east)
+    det = n[0] * e[1] - e[0] * n[1]
+    dx, dy = (x - centre[0]) / scale, (y - centre[1]) / scale
+    a, b = (e[1] * dx - e[0] * dy) / det, (n[0] * dy - n[1] * dx) / det
+    return F.sqrt(a * a + b * b), F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0))
+
+
+def full_resolution(matrix: Column) -> Column:
+    """An affine map between images of half size (six numbers, rows) as one between pixels of full size: sample k of half size has its centre at 2 k + 0.5."""
+    m = [matrix[k] for k in range(6)]
+    move = lambda a, b, c: 2 * c + 0.5 - 0.5 * (a + b)
+    return F.array(m[0], m[1], move(m[0], m[1], m[2]), m[3], m[4], move(m[3], m[4], m[5]))
+
+
+def srgb_code(x: Column, bits: int = 16) -> Column:
+    """The code of 8 or 16 bits of a value from 0 to 1 under the sRGB curve, halves to even; nothing is 0."""
+    x = F.coalesce(F.when(~F.isnan(x), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))), F.lit(0.0))
+    # The curve of the standard.
+    curve = F.when(x <= 0.0031308, 12.92 * x).otherwise(1.055 * F.pow(x, F.lit(1 / 2.4)) - 0.055)
+    return F.rint(curve * (2**bits - 1)).cast("int")
+
+
+def mid_exposure(taken: Column, fraction: Column, exposure: Column, offset_hours: float) -> Column:
+    """UTC micros at the middle of an exposure from the text of its start `yyyy:MM:dd HH:mm:ss`, the digits after the second (or none) and its length in seconds."""
+    start = F.unix_micros(F.to_timestamp(taken, "yyyy:MM:dd HH:mm:ss"))
+    digits = F.coalesce(F.concat(F.lit("0."), F.when(fraction != "", fraction)).try_cast("double"), F.lit(0.0))
+    return start + F.rint((digits + exposure / 2 - 3600 * offset_hours) * 1e6).cast("long")
+
+
+def labelled_magnitude(label: Column) -> Column:
+    """The number after `V =` of a label, written with a decimal comma; null if there is none."""
+    return F.translate(F.nullif(F.regexp_extract(label, r"V\s*=\s*([0-9]+,[0-9]+)", 1), F.lit("")), ",", ".").cast("double")
 
 
 def direction(angle: Column) -> Column:

@@ -109,3 +109,26 @@ def test_pixel_columns(spark):
     assert [r[0] for r in d.select(pixel.to_unsigned(F.col("v"))).collect()] == [32768, 0, 0, 65535]
     for x in (-2.0, -0.3, 0.0, 0.7, 3.0):
         assert abs(spark.range(1).select(pixel.erf(F.lit(x))).first()[0] - math.erf(x)) < 2e-7
+
+
+def test_texts_and_curves_of_scalars(spark):
+    from annulus.functions import pixel, scalar
+
+    one = spark.range(1)
+    mags = spark.createDataFrame([("HIP 7 V= 6,25",), ("V =12,5 x",), ("V=?",), (None,), ("v=6,2",)], "t string")
+    assert [r[0] for r in mags.select(scalar.labelled_magnitude(F.col("t"))).collect()] == [6.25, 12.5, None, None, None]
+    codes = spark.createDataFrame([(-1.0,), (0.0,), (0.003,), (0.5,), (1.0,), (7.0,), (float("nan"),), (None,)], "v double")
+    assert [r[0] for r in codes.select(scalar.srgb_code(F.col("v"), 8)).collect()] == [0, 0, 10, 188, 255, 255, 0, 0]
+    taken = spark.createDataFrame([("2026:08:12 20:29:48", "5", 8.0), ("2026:08:12 20:29:48", "", 1.0), ("2026:08:12 20:29:48", None, 0.0)], "t string, f string, e double")
+    base = spark.sql("select unix_micros(timestamp '2026-08-12 18:29:48 UTC')").first()[0]
+    got = [r[0] for r in taken.select(scalar.mid_exposure(F.col("t"), F.col("f"), F.col("e"), 2.0)).collect()]
+    assert [g - base for g in got] == [4_500_000, 500_000, 0]
+    for bad in (float("nan"), 1.5, -0.1):
+        with pytest.raises(Exception, match="alpha must be finite"):
+            one.select(pixel.layer_alpha(F.lit(bad), F.lit(True))).collect()
+    frame = ((10.0, 20.0), 5.0, (0.0, -1.0), (-1.0, 0.0))
+    x, y = scalar.frame_to_pixel(F.lit(2.0), F.lit(90.0), *frame)
+    r, a = scalar.pixel_to_frame(x, y, *frame)
+    assert [round(v, 9) for v in one.select(x, y, r, a).first()] == [0.0, 20.0, 2.0, 90.0]
+    pa = scalar.position_angle(F.lit(1.0), F.lit(0.0), 20.0, mirrored=True)
+    assert [round(v, 9) for v in one.select(pa, scalar.image_angle(pa, 20.0, mirrored=True)).first()] == [70.0, 90.0]
