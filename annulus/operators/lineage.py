@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -15,6 +16,16 @@ def shared_folder(spark: SparkSession) -> str:
     return named or "file://" + tempfile.mkdtemp(prefix="annulus-")
 
 
+#: Rows that a table may have to be sent to every task.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """`df` materialised, and broadcast where it is counted to have at most `FEW` rows, so that the large side of a join need not move; else to be joined by key."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` with checkpoint() in the shared folder, so that plans do not grow with rounds and lost executors cost no round."""
     sc = df.sparkSession.sparkContext

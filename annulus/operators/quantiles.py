@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import FEW, cut
 
 
 def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: tuple[float, ...], *, buckets: int = 1024) -> DataFrame:
@@ -26,12 +26,13 @@ def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: tup
     done = open_.where("lo = hi")
     open_ = open_.where("lo < hi")
     which = [*keys, "n", "prob", "rank"]
-    while not open_.isEmpty():
-        few = open_.select(*which, "left", "lo", "hi").alias("t")
+    while n_open := open_.count():
+        asked = open_.select(*which, "left", "lo", "hi")
+        asked = (F.broadcast(asked) if n_open <= FEW else asked).alias("t")
         d_ = d.alias("d")
         inside = F.col("v").between(F.col("lo"), F.col("hi"))
-        # Without keys there are at most two ranks for each of `probs`, which a task can hold; with keys Spark sees the size.
-        both = d_.join(few, on("d", "t"), "inner").where(inside) if keys else d_.join(F.broadcast(few), inside)
+        # Without keys there are at most two ranks for each of `probs`; with keys they are counted.
+        both = d_.join(asked, on("d", "t"), "inner").where(inside) if keys else d_.join(asked, inside)
         part = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets), F.lit(buckets - 1))
         named = [F.col(f"t.{c}").alias(c) for c in (*which, "left")]
         counts = both.select(*named, part.alias("part"), "v").groupBy(*which, "left", "part").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
