@@ -26,7 +26,7 @@ def same(x, y):
     return x == y or (x is None or x != x) and (y is None or y != y) or isinstance(x, float) and y is not None and abs(x - y) <= 1e-5 * max(1, abs(x))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_gives_the_rows_of_its_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
