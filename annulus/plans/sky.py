@@ -233,10 +233,14 @@ def agg18_block_median(spark, sf_dir):
 @query(f"""WITH g AS ({GRID}) SELECT s.y * 50 + s.x AS star, count(*) AS n, round(sum(g.value) FILTER (sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2) <= 1), 4) AS r1, round(sum(g.value) FILTER (sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2) <= 2), 4) AS r2, round(sum(g.value), 4) AS r3
 FROM g s JOIN g ON sqrt((g.x - s.x) ** 2 + (g.y - s.y) ** 2) <= 3 GROUP BY 1""")
 def agg20_apertures(spark, sf_dir):
-    g = grid(spark, sf_dir).withColumn("id", F.col("y") * 50 + F.col("x"))
-    near = M.radius_join(g, g, 3.0).join(g.select(F.col("id").alias("b_id"), "value"), "b_id")
-    within = lambda r: F.sum(F.when(F.col("distance") <= r, F.col("value")))
-    return near.groupBy(F.col("a_id").alias("star")).agg(F.count("*").alias("n"), *rounded(4, r1=within(1), r2=within(2), r3=F.sum("value")))
+    # Each pixel is sent to the centres around it, where sums merge before the shuffle; a centre counts if it is a pixel itself.
+    reach = range(-3, 4)
+    offsets = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(np.hypot(i, j))).alias("d")) for i in reach for j in reach if np.hypot(i, j) <= 3]
+    sent = grid(spark, sf_dir).where("y is not null and x is not null").select("*", F.explode(F.array(*offsets)).alias("o"))
+    within = lambda r: F.sum(F.when(F.col("o.d") <= r, F.col("value")))
+    at = sent.groupBy((F.col("y") + F.col("o.i")).alias("y"), (F.col("x") + F.col("o.j")).alias("x")).agg(F.count("*").alias("n"), within(1).alias("r1"), within(2).alias("r2"), F.sum("value").alias("r3"), F.count_if(F.col("o.d") == 0).alias("same"))
+    same = F.col("same")  # pixels at one place are one star
+    return at.where("same > 0").select((F.col("y") * 50 + F.col("x")).alias("star"), (F.col("n") * same).alias("n"), *rounded(4, **{r: F.col(r) * same for r in ("r1", "r2", "r3")}))
 
 
 def apertures(pixels, *, radii=20, annulus=(26, 40), least=40):

@@ -79,6 +79,19 @@ def test_aperture_fluxes_take_every_pixel(spark):
     assert df.count() == part and {f"f{k}" for k in range(1, 21)} < set(df.columns)
 
 
+def test_aperture_sums_need_no_join_and_count_repeated_pixels(spark, con, tmp_path):
+    name = "agg20_apertures"
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan  # a table of all pixels was broadcast
+    part = spark.read.parquet(f"{SF}/part.parquet")
+    odd = part.where("p_partkey % 7 <> 0").unionByName(part.where("p_partkey between 60 and 70"))
+    odd.withColumn("p_retailprice", F.when(F.col("p_partkey") != 31, F.col("p_retailprice"))).write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("star", "n", "r1", "r2", "r3").collect())
+    sql = ORACLE[name].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(con.sql(f"select star, n, r1, r2, r3 from ({sql})").fetchall())
+    assert len(got) == len(want) and all(same(a, b) for x, y in zip(got, want) for a, b in zip(x, y))
+
+
 def test_one_to_one_join_refuses_repeated_keys(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "p"), (1, "q"), (3, "r")], "k int, b string")
     assert [tuple(r) for r in match.one_to_one(a, b.where("b <> 'q'"), ["k"]).collect()] == [(1, "x", "p")]
