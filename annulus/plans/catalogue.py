@@ -164,15 +164,16 @@ def joi09_unmatched(spark, sf_dir):
 b AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer)
 SELECT a.id AS a_id, b.id AS b_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM a, b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 3""")
 def joi14_within_radius(spark, sf_dir):
-    return star_pairs(spark, sf_dir).withColumn("distance", F.round("distance", 6))
+    from ..operators.match import radius_join
 
+    return radius_join(*star_lists(spark, sf_dir), 3.0).withColumn("distance", F.round("distance", 6))
 
-def star_pairs(spark, sf_dir):
-    from ..operators.match import radius_join
 
+def star_lists(spark, sf_dir):
+    """Suppliers and customers as two lists (id, x, y) of stars."""
     a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
     b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"))
-    return radius_join(a, b, 3.0)
+    return a, b
 
 
 @query("""WITH a AS (SELECT s_suppkey AS id, s_acctbal / 100 AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier),
@@ -183,7 +184,7 @@ SELECT a_id, b_id, round(d, 6) AS distance FROM r WHERE ra = 1 AND rb = 1""")
 def joi13_mutual_nearest(spark, sf_dir):
     from ..operators.match import mutual_nearest
 
-    return mutual_nearest(star_pairs(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+    return mutual_nearest(*star_lists(spark, sf_dir), 3.0).withColumn("distance", F.round("distance", 6))
 
 
 @query("""SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 16""")

@@ -11,7 +11,7 @@ from ..operators import grid as G
 from ..operators import match as M
 from ..operators import rings as R
 from ..operators.raster import b3, tile_map
-from .catalogue import GRID, ORACLE, RING, grid, items, query, star_pairs, table
+from .catalogue import GRID, ORACLE, RING, grid, items, query, star_lists, table
 
 
 def rounded(digits: int = 6, **columns):
@@ -156,7 +156,7 @@ p AS (SELECT a.id AS a_id, b.id AS b_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y -
 
 @query(f"""WITH {STARS} SELECT a_id, b_id, CAST(k AS INTEGER) AS rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY distance, b_id) AS k FROM p) WHERE k <= 3""")
 def joi18_three_nearest(spark, sf_dir):
-    return M.nearest(star_pairs(spark, sf_dir), 3).withColumn("distance", F.round("distance", 6))
+    return M.nearest(*star_lists(spark, sf_dir), 3.0, 3).withColumn("distance", F.round("distance", 6))
 
 
 @query(f"""WITH {STARS}, top AS (SELECT * FROM a ORDER BY snr DESC, id LIMIT 16)
@@ -175,10 +175,9 @@ def joi20_priority_dedupe(spark, sf_dir):
 
 @query(f"""WITH {STARS} SELECT 'a' AS side, id FROM a WHERE id NOT IN (SELECT a_id FROM p) UNION ALL SELECT 'b', id FROM b WHERE id NOT IN (SELECT b_id FROM p)""")
 def joi21_leftovers(spark, sf_dir):
-    pairs = star_pairs(spark, sf_dir)
-    a = table(spark, sf_dir, "supplier").select(F.lit("a").alias("side"), F.col("s_suppkey").alias("id"))
-    b = table(spark, sf_dir, "customer").select(F.lit("b").alias("side"), F.col("c_custkey").alias("id"))
-    return a.join(pairs, a.id == pairs.a_id, "left_anti").unionByName(b.join(pairs, b.id == pairs.b_id, "left_anti"))
+    a, b = star_lists(spark, sf_dir)
+    side = lambda name, rest: rest.select(F.lit(name).alias("side"), "id")
+    return side("a", M.unmatched(a, b, 3.0)).unionByName(side("b", M.unmatched(b, a, 3.0)))
 
 
 @query(f"""WITH p AS (SELECT {RING} AS ring, median(l_quantity) AS mid FROM lineitem GROUP BY 1),

@@ -92,6 +92,42 @@ def test_aperture_sums_need_no_join_and_count_repeated_pixels(spark, con, tmp_pa
     assert len(got) == len(want) and all(same(a, b) for x, y in zip(got, want) for a, b in zip(x, y))
 
 
+def crowds(spark):
+    """Two lists of stars, a crowd of 3,000 each in a hundredth of the radius, copies, an empty stretch and rows without a place."""
+    import random
+
+    r = random.Random(5)
+    rows = lambda n, at, wide: [(at + r.random() * wide, r.random() * wide) for _ in range(n)]
+    lists = []
+    for n in (40, 60):
+        xy = rows(3000, 0.0, 0.03) + rows(n, 0.0, 40.0) + [(9.5, 9.5)] * 9 + [(None, 1.0), (float("nan"), 1.0), (float("inf"), 1.0), (500.0 + n, 1.0)]
+        lists.append([(i, *p) for i, p in enumerate(xy)])
+    return lists, [spark.createDataFrame(x, "id long, x double, y double") for x in lists]
+
+
+def test_nearest_of_crowds_against_brute_force(spark):
+    import numpy as np
+
+    (a, b), frames = crowds(spark)
+    xy = [np.array([[np.nan if v is None or abs(v) == float("inf") else v for v in p[1:]] for p in side]) for side in (a, b)]
+    d = np.sqrt((xy[0][:, None, 0] - xy[1][None, :, 0]) ** 2 + (xy[0][:, None, 1] - xy[1][None, :, 1]) ** 2)
+    d[~(d <= 3)] = np.inf
+    want = {(i, int(j), k + 1) for i in range(len(a)) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3]) if d[i, j] < np.inf}
+    got = match.nearest(*frames, 3.0, 3)
+    assert {(r.a_id, r.b_id, r["rank"]) for r in got.collect()} == want
+    ab, ba = np.argmin(d, axis=1), np.argmin(d, axis=0)
+    mutual = {(i, int(j)) for i, j in enumerate(ab) if d[i, j] < np.inf and ba[j] == i}
+    assert {(r.a_id, r.b_id) for r in match.mutual_nearest(*frames, 3.0).collect()} == mutual
+    assert {r.id for r in match.unmatched(*frames, 3.0).collect()} == set(np.nonzero(np.isinf(d).all(axis=1))[0].tolist())
+    assert match.radius_join(*frames, 3.0).count() == np.isfinite(d).sum()
+
+
+def test_nearest_begins_in_narrow_cells_where_rows_crowd(spark):
+    _, (a, b) = crowds(spark)
+    widths = match.widths(match.placed(b).select(F.col("x").alias("bx"), F.col("y").alias("by")), 3.0)
+    assert widths[0] < 0.01 and widths[-1] == 3.0 and widths == sorted(widths)
+
+
 def test_one_to_one_join_refuses_repeated_keys(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "p"), (1, "q"), (3, "r")], "k int, b string")
     assert [tuple(r) for r in match.one_to_one(a, b.where("b <> 'q'"), ["k"]).collect()] == [(1, "x", "p")]
