@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,18 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
+#: Rows of a part of `dealt`: a sort of them stays at some hundred MB.
+DEALT = 500_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """`df` shuffled by `keys` into as many parts as its rows need at `DEALT` each, so that what a task sorts does not grow with the input.
+
+    Groupings, windows and joins by these keys use the parts as they are. The rows are counted, so `df` should be close to its files.
+    """
+    return df.repartition(max(1, math.ceil(df.count() / DEALT)), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` with checkpoint() in the shared folder, so that plans do not grow with rounds and lost executors cost no round."""
     sc = df.sparkSession.sparkContext

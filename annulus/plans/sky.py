@@ -10,6 +10,7 @@ from ..functions import scalar as S
 from ..operators import grid as G
 from ..operators import match as M
 from ..operators import rings as R
+from ..operators.lineage import dealt
 from ..operators.raster import b3, tile_map
 from .catalogue import GRID, ORACLE, RING, grid, items, query, star_lists, table
 
@@ -360,7 +361,7 @@ rank() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) + (count(*) OVER (
 SELECT l_suppkey, round(corr(a, b), 6) AS rho FROM r GROUP BY 1""")
 def agg37_spearman(spark, sf_dir):
     rank = lambda c: F.rank().over(Window.partitionBy("l_suppkey").orderBy(c)) + (F.count("*").over(Window.partitionBy("l_suppkey", c)) - 1) / 2.0
-    return items(spark, sf_dir).select("l_suppkey", rank("v").alias("a"), rank("l_extendedprice").alias("b")).groupBy("l_suppkey").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
+    return dealt(items(spark, sf_dir), "l_suppkey").select("l_suppkey", rank("v").alias("a"), rank("l_extendedprice").alias("b")).groupBy("l_suppkey").agg(F.round(F.corr("a", "b"), 6).alias("rho"))
 
 
 @query(f"""WITH m AS (SELECT {RING} AS ring, median(l_quantity / 50) AS mid, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 20)

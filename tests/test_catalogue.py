@@ -128,6 +128,14 @@ def test_nearest_begins_in_narrow_cells_where_rows_crowd(spark):
     assert widths[0] < 0.01 and widths[-1] == 3.0 and widths == sorted(widths)
 
 
+@pytest.mark.parametrize("name", ["agg37_spearman"])
+def test_parts_grow_with_the_rows(spark, monkeypatch, name):
+    from annulus.operators import lineage
+
+    monkeypatch.setattr(lineage, "DEALT", 200)  # some 6,000 line items
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 25
+
+
 def test_one_to_one_join_refuses_repeated_keys(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "p"), (1, "q"), (3, "r")], "k int, b string")
     assert [tuple(r) for r in match.one_to_one(a, b.where("b <> 'q'"), ["k"]).collect()] == [(1, "x", "p")]
