@@ -11,6 +11,7 @@ from ..operators import grid as G
 from ..operators import match as M
 from ..operators import raster as T
 from ..operators import rings as R
+from ..operators.lineage import dealt
 from ..operators.order import numbered
 from ..operators.quantiles import exact_median, exact_quantiles
 from ..operators.raster import of_keys
@@ -165,7 +166,7 @@ def joi05_finite(spark, sf_dir):
 @query("""WITH a AS (SELECT l_orderkey, l_suppkey, count(*) AS n, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), b AS (SELECT l_orderkey, l_suppkey, max(l_tax) AS tax FROM lineitem GROUP BY 1, 2)
 SELECT l_orderkey, l_suppkey, round(v, 4) AS v, tax FROM a JOIN b USING (l_orderkey, l_suppkey)""")
 def joi06_one_to_one(spark, sf_dir):
-    d = items(spark, sf_dir)
+    d = dealt(items(spark, sf_dir), "l_orderkey", "l_suppkey")
     a, b = d.groupBy("l_orderkey", "l_suppkey").agg(F.sum("v").alias("v")), d.groupBy("l_orderkey", "l_suppkey").agg(F.max("l_tax").alias("tax"))
     return M.one_to_one(a, b, ["l_orderkey", "l_suppkey"]).select("l_orderkey", "l_suppkey", F.round("v", 4).alias("v"), "tax")
 

@@ -128,7 +128,7 @@ def test_nearest_begins_in_narrow_cells_where_rows_crowd(spark):
     assert widths[0] < 0.01 and widths[-1] == 3.0 and widths == sorted(widths)
 
 
-@pytest.mark.parametrize("name", ["agg37_spearman"])
+@pytest.mark.parametrize("name", ["agg37_spearman", "joi06_one_to_one"])
 def test_parts_grow_with_the_rows(spark, monkeypatch, name):
     from annulus.operators import lineage
 
