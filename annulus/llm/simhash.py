@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, Words, components, cut, forest, lean, lean_batches, mixed, portions, powers, stored
+from .common import Words, components, cut, forest, lean, lean_batches, mixed, portions, stored
 
 #: Quarters of a fingerprint whose population counts name its tile.
 PARTS, WIDTH = 4, 16
@@ -108,10 +110,104 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     return fp.join(named, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
-#: Bands and hashes per band of `similar_texts`: a pair at similarity 0.8 shares no band with probability (1 - 0.8^6)^48 = 5e-7.
-BANDS, ROWS = 48, 6
-#: A pair is confirmed exactly unless its signatures agree in a share this far below the similarity asked for: five standard deviations of 288 hashes.
-SLACK = 0.12
+#: Share of equal bits that the wide fingerprints of two texts at similarity 0.8 have at least (sets of 4 and 5 shingles; large sets 0.848).
+AGREE = 0.835
+#: 64-bit words of a wide fingerprint that are compared inside a bucket; the others are its bands.
+HEAD = 3
+#: Share of pairs at similarity 0.8 that meet in no band.
+MISS = 5e-7
+
+
+def band_plan(n: int) -> tuple[int, int]:
+    """(bands, bits of a band) for n texts: buckets hold some 8,192 unrelated texts at most, and a pair that agrees in a share `AGREE` of all bits meets in none with probability `MISS`."""
+    width = min(24, max(10, math.ceil(math.log2(max(n, 1))) - 13))
+    return math.ceil(math.log(MISS) / math.log(1 - AGREE**width)), width
+
+
+def most_bits(bits: int) -> int:
+    """Bits in which fingerprints of that many bits may differ: five standard deviations beyond the mean at `AGREE`."""
+    return math.floor(bits * (1 - AGREE) + 5 * math.sqrt(bits * AGREE * (1 - AGREE)))
+
+
+@lru_cache(maxsize=4)
+def further(words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets that make of one hash two further ones for each word."""
+    a, b = np.random.default_rng(42).integers(0, 1 << 64, (2, 2 * words), dtype=np.uint64)
+    return a | np.uint64(1), b
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of a set of 64-bit hashes: 64 * words majority bits as bytes.
+
+    Each member votes on each bit by one and by three, from two bits of further hashes, for and against: with plain votes, ties of small sets
+    would move more bits than the angle between the sets. No members give zero.
+    """
+    a, b = further(words)
+    ones = np.zeros(128 * words, dtype=np.int64)
+    for at in range(0, len(hashes), 255):  # sums of bytes that can't overflow
+        x = mixed((hashes[at : at + 255, None] ^ b) * a)
+        ones += np.unpackbits(x.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * (2 * ones[: 64 * words] + ones[64 * words :]) > 3 * len(hashes))
+
+
+def bucket_links(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect all rows of w (words of fingerprints) within `most_bits` of each other.
+
+    All are compared with the first row; what is not linked to it is compared with all, so a group of copies costs little.
+    """
+    most, first = most_bits(64 * w.shape[1]), most_bits(64)
+    to_first = np.bitwise_count(w ^ w[0]).sum(axis=1, dtype=np.int64) <= most
+    near = np.nonzero(to_first)[0][1:]
+    rest = np.nonzero(~to_first)[0]
+    links = [np.stack([np.zeros(len(near), dtype=np.int64), near])]
+    order = np.concatenate([rest, near])  # a pair of two of the rest is compared once
+    x, heads = w[order], np.ascontiguousarray(w[order, 0])
+    at = 0
+    while at < len(rest):
+        step = max(1, (1 << 20) // (len(order) - at))
+        end = min(at + step, len(rest))
+        i, j = np.nonzero(np.bitwise_count(heads[at:end, None] ^ heads[None, at:]) <= first)
+        i, j = i + at, j + at
+        i, j = i[i < j], j[i < j]
+        ok = np.bitwise_count(x[i] ^ x[j]).sum(axis=1, dtype=np.int64) <= most
+        links.append(np.stack([order[i[ok]], order[j[ok]]]))
+        at = end
+    i, j = np.concatenate(links, axis=1)
+    return i, j
+
+
+def simhash_classes(nodes: DataFrame, n: int) -> DataFrame:
+    """Rows (node, root) of the `nodes` (node, bands, w0, ...) joined, directly or in steps, by wide fingerprints that share a band and differ in few bits of their head.
+
+    A bucket is a band's number and bits. Buckets of one band that begin alike are compared in one task, each bucket for itself, and give a spanning forest of
+    their links, not the links. Roots have no row themselves.
+    """
+    _, width = band_plan(n)
+    shift = width - min(width, max(0, math.ceil(math.log2(max(n, 1))) - 17))
+    heads = [f"w{i}" for i in range(HEAD)]
+    rows = nodes.select("node", *heads, F.explode("bands").alias("bucket")).withColumn("cell", F.shiftright("bucket", shift))
+
+    def compare(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        node = table.column("node").to_numpy()[order]
+        w = np.stack([table.column(c).to_numpy().view(np.uint64) for c in heads], axis=1)[order]
+        starts = np.nonzero(np.diff(bucket[order], prepend=-1))[0]
+        a, b = [], []
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+            if e - s < 2:
+                continue
+            i, j = bucket_links(w[s:e])
+            if not len(i):
+                continue
+            root = forest(i, j, e - s)
+            k = np.nonzero(root != np.arange(e - s))[0]
+            a.append(node[s + k])
+            b.append(node[s + root[k]])
+        none = [np.empty(0, dtype=np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    return components(rows.groupBy("cell").applyInArrow(lambda t: lean(compare(t)), "a long, b long"))
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -171,31 +267,27 @@ def text_roots(docs: DataFrame, *, text: str = "text", k: int = 5, least: float
 
     A node is one set of shingles (`with_nodes`); those that are linked to none, or are the root of the others, may have no row.
 
-    Equal shingle sets are one node, so copies cost nothing more. Nodes that agree in one of `BANDS` bands of `ROWS` minimum hashes are
-    candidates; of these, pairs whose signatures (8 bits of each minimum) agree too seldom are dropped, and each link is confirmed by
-    the exact similarity. In each bucket of a band all are compared with the smallest node, twice. What is still in different
-    components is compared in squares of `tile` members, signatures first and then whole shingle sets, and a square returns one link per component that it joins: the members of a bucket's largest component with the others, and those with
-    one another, in one group for all buckets with the same largest component; so no pair of a bucket is left out and a group of copies costs little. A bucket whose many members are alike but not linked is still compared whole. The bands'
-    recall holds for similarities of 0.8 or more. SimHash can't stand in for them: at 0.8 its fingerprints differ in about 10 of 64 bits,
-    and a radius that finds those compares all with all. Null and empty texts and those of white space are one node.
+    Equal shingle sets are one node, so copies cost nothing more. Nodes are first joined to classes by SimHash (`simhash_classes`), with fingerprints wide enough for
+    similarities of 0.8: there 64 bits differ in about 10, and a radius of 10 in 64 bits would compare all with all, while some hundred bits in bands find the pairs by equal bits. Inside a class each link is then confirmed by
+    the exact similarity, where whole fingerprints differ in few enough bits. In each class all are compared with the smallest node, twice. What is still in different
+    components is compared in squares of `tile` members, fingerprints first and then whole shingle sets, and a square returns one link per component that it joins: the members of a class's largest component with the others, and those with
+    one another, in one group for all classes with the same largest component; so no pair of a class is left out and a group of copies costs little. A class whose many members are alike but not linked is still compared whole. The bands'
+    recall holds for similarities of 0.8 or more. Null and empty texts and those of white space are one node.
     """
-    r = np.random.default_rng(42)
-    a, b = (r.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+    n = docs.count()
+    bands, width = band_plan(n)
+    words = HEAD + math.ceil(bands * width / 64)
 
     def sign(batches):
         for batch in (part for b in batches for part in portions(b, text)):
-            node, size, bands, signature = [], [], [], []
-            for h in shingle_sets(batch.column(text).to_pylist(), k):
-                node.append(node_of(h))
-                size.append(len(h))
-                low, h = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32), (h >> np.uint64(32)).astype(np.uint32)
-                for at in range(0, len(h), 256):
-                    x = (h[at : at + 256, None] ^ b) * a
-                    low = np.minimum(low, (x ^ x >> np.uint32(16)).min(axis=0))
-                bands.append(mixed(np.concatenate([low.reshape(BANDS, ROWS).astype(np.uint64) * powers(BASES[1], ROWS + 1)[1:], np.arange(BANDS, dtype=np.uint64)[:, None]], axis=1).sum(axis=1, dtype=np.uint64)))
-                signature.append((low * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes())
-            bands = [x.view(np.int64).tolist() for x in bands]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(signature, pa.binary())], names=["node", "size", "bands", "signature"])
+            sets = shingle_sets(batch.column(text).to_pylist(), k)
+            node = np.array([node_of(h) for h in sets], dtype=np.uint64).view(np.int64)
+            fp = np.stack([wide_fingerprint(h, words) for h in sets])
+            bits = np.unpackbits(fp[:, 8 * HEAD :], axis=1)[:, : bands * width].reshape(-1, bands, width)
+            bucket = bits @ (1 << np.arange(width)[::-1]) + (np.arange(bands) << width)
+            heads = np.ascontiguousarray(fp[:, : 8 * HEAD]).view(np.int64)
+            columns = [pa.array(node), pa.array([len(h) for h in sets], pa.int32()), pa.array(bucket.tolist(), pa.list_(pa.int64())), *[pa.array(heads[:, i]) for i in range(HEAD)], pa.array([x.tobytes() for x in fp], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "bands", *[f"w{i}" for i in range(HEAD)], "signature"])
 
     def confirm(batches):
         for batch in (part for b in batches for part in portions(b, "x")):
@@ -207,13 +299,13 @@ def text_roots(docs: DataFrame, *, text: str = "text", k: int = 5, least: float
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def matrix(column) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
+        return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, words)
 
-    enough = (least - SLACK) * BANDS * ROWS
+    most = most_bits(64 * words)
 
     def screen(batches):
         for batch in batches:
-            near = (matrix(batch.column("a_signature")) == matrix(batch.column("b_signature"))).sum(axis=1) >= enough
+            near = np.bitwise_count(matrix(batch.column("a_signature")) ^ matrix(batch.column("b_signature"))).sum(axis=1, dtype=np.int64) <= most
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     def hashes(batches):
@@ -228,7 +320,7 @@ def text_roots(docs: DataFrame, *, text: str = "text", k: int = 5, least: float
         q = np.nonzero(~left)[0]
         for i in np.nonzero(left)[0]:
             j = q[(root[q] != root[i]) & (np.minimum(size[q], size[i]) >= least * np.maximum(size[q], size[i]))]
-            j = j[(m[j] == m[i]).sum(axis=1) >= enough]
+            j = j[np.bitwise_count(m[j] ^ m[i]).sum(axis=1, dtype=np.int64) <= most]
             own = np.frombuffer(column[int(i)].as_py(), dtype=np.uint64)
             if not len(j) or not len(own):
                 continue
@@ -241,10 +333,12 @@ def text_roots(docs: DataFrame, *, text: str = "text", k: int = 5, least: float
                 root[root == root[x]] = root[i]
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    nodes = stored(docs.select(text).mapInArrow(lambda b: lean_batches(sign(b)), "node long, size int, bands array<long>, signature binary").dropDuplicates(["node"]))
+    heads = ", ".join(f"w{i} long" for i in range(HEAD))
+    nodes = stored(docs.select(text).mapInArrow(lambda b: lean_batches(sign(b)), f"node long, size int, bands array<long>, {heads}, signature binary").dropDuplicates(["node"]))
     signatures = nodes.select("node", "signature")
-    rows = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    members = stored(rows.join(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "bucket").withColumn("root", F.col("node")))
+    classes = simhash_classes(nodes, n).select("node", F.col("root").alias("bucket"))
+    classes = classes.union(classes.select("bucket", "bucket").distinct())
+    members = stored(nodes.select("node", "size").join(classes, "node").withColumn("root", F.col("node")))
     wanted = members.select("node").distinct()
     texts = stored(with_nodes(docs.select(text), text, k).join(wanted, "node").groupBy("node").agg(F.min(text).alias("t")))
 

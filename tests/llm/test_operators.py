@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from annulus.llm import embeddings, html, media, mixing, packing, quality, simhash, substrings, toxicity, urls
 
@@ -313,6 +314,47 @@ def test_pipeline_removes_near_copies_like_brute_force(spark):
     assert corpus_pipeline.simhash(spark, spark.createDataFrame(rows[:0], DOCS), "").count() == 0
 
 
+def test_pipeline_finds_near_copies_by_simhash_alone(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    base = [f"w{r.randrange(500)}" for _ in range(200)]
+    texts = [" ".join(base), " ".join(base[:190]), " ".join(base).upper(), "one two three four five six seven eight", "one two three four five six seven eight nine", " ".join(f"v{r.randrange(500)}" for _ in range(200))]
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert sorted(x.doc_id for x in corpus_pipeline.simhash(spark, rows, "").collect()) == [0, 3, 5]
+    # Without the classes that fingerprints make, only equal sets of shingles are found.
+    monkeypatch.setattr(simhash, "simhash_classes", lambda nodes, n: nodes.select("node", F.col("node").alias("root")).limit(0))
+    assert sorted(x.doc_id for x in corpus_pipeline.simhash(spark, rows, "").collect()) == [0, 1, 3, 4, 5]
+
+
+def test_wide_fingerprints_of_similar_sets_differ_in_few_bits():
+    r = np.random.default_rng(3)
+    words = simhash.HEAD + 13
+    for common, a, b in ((4, 1, 0), (8, 1, 1), (160, 20, 20), (160, 40, 0), (5000, 600, 600)):  # similarities of 0.8 or little more
+        for _ in range(10):
+            h = r.integers(0, 1 << 64, common + a + b, dtype=np.uint64)
+            x, y, z = (simhash.wide_fingerprint(s, words) for s in (h[: common + a], np.delete(h, slice(common, common + a)), ~h))
+            assert np.bitwise_count(x ^ y).sum() <= simhash.most_bits(64 * words) < np.bitwise_count(x ^ z).sum()
+    assert simhash.wide_fingerprint(h[:0], words).sum() == 0
+
+
+def test_links_of_a_bucket_connect_what_brute_force_connects():
+    r = np.random.default_rng(4)
+    bases = r.integers(0, 1 << 64, (6, simhash.HEAD), dtype=np.uint64)
+    w = bases[r.integers(0, 6, 300)]
+    for row in w:
+        for bit in r.choice(64 * simhash.HEAD, r.integers(0, 45), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    i, j = simhash.bucket_links(w)
+    most, first = simhash.most_bits(64 * simhash.HEAD), simhash.most_bits(64)
+    d = np.bitwise_count(w[:, None] ^ w[None])
+    p, q = np.nonzero(d.sum(axis=2) <= most)
+    assert all(d[x, y].sum() <= most for x, y in zip(i, j))
+    p, q = p[d[p, q, 0] <= first], q[d[p, q, 0] <= first]
+    root, wanted = simhash.forest(i, j, 300), simhash.forest(p, q, 300)
+    assert np.array_equal(root, wanted) and len(set(root)) < 300
+
+
 def test_quality_messages_do_not_depend_on_the_order_of_rows():
     from annulus.llm.quality import Grams, by_shard
 
