@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import FEW, cut
+from .lineage import FEW, cut, few
 
 
 def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: tuple[float, ...], *, buckets: int = 1024) -> DataFrame:
@@ -48,3 +48,28 @@ def exact_quantiles(df: DataFrame, keys: tuple[str, ...], value: str, probs: tup
 def exact_median(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """Rows (*keys, n, median) by `exact_quantiles`."""
     return exact_quantiles(df, keys, value, (0.5,)).select(*keys, "n", F.col("quantile").alias("median"))
+
+
+def bracketed_median(df: DataFrame, keys: tuple[str, ...], value: str, *, reach: float = 5e-4, accuracy: int = 20_000) -> DataFrame:
+    """Rows (*keys, n, median), exact, from two passes over `df`, whatever its size; rows whose key is null give none.
+
+    A quantile sketch brackets the middle of each group, `reach` of its rows to either side; the second pass counts the values below the bracket and each value inside it.
+    A group whose middle is not inside, which the sketch's error does not allow, is left to `exact_median`.
+    """
+    v = F.col(value).cast("double")
+    d = df.select(*keys, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ends = F.percentile_approx("v", [0.5 - reach, 0.5 + reach], accuracy)
+    ends = few(d.groupBy(*keys).agg(F.count("*").alias("n"), ends.alias("ends")).where("n > 0").select(*keys, "n", F.col("ends")[0].alias("lo"), F.col("ends")[1].alias("hi")))
+    rows = (d.join(ends, list(keys)) if keys else d.join(F.broadcast(ends), F.lit(True))).where("v <= hi")
+    counts = rows.groupBy(*keys, "n", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    reached = lambda rank: F.min(F.when(F.col("upto") > F.expr(rank), F.col("v")))
+    below = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0))
+    found = counts.withColumn("upto", upto).groupBy(*keys, "n").agg(reached("(n - 1) div 2").alias("a"), reached("n div 2").alias("b"), below.alias("below"))
+    found = cut(found.withColumn("inside", (F.col("below") <= F.expr("(n - 1) div 2")) & F.col("b").isNotNull()))
+    medians = found.where("inside").select(*keys, "n", (F.col("a") + (F.col("b") - F.col("a")) * 0.5).alias("median"))
+    missed = found.where("not inside")
+    if missed.isEmpty():
+        return medians
+    left = df.join(missed.select(*keys), list(keys), "left_semi") if keys else df
+    return medians.unionByName(exact_median(left, keys, value))

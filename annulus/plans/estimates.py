@@ -55,7 +55,7 @@ RSS = "greatest(yy - 2 * (c1 * b0 + c2 * b1 + c3 * b2) + (c1 * b0 + c2 * b1 + c3
 p AS (SELECT l_returnflag, avg((mag - c1 - c2 * ma - c3 * mc) ** 2) * count(*) / (count(*) - 3) AS v FROM k6 JOIN f6 USING (l_returnflag) WHERE kept GROUP BY 1)
 SELECT l_returnflag, n, round(c1, 7) AS zero_point, round(c2, 7) AS extinction, round(c3, 7) AS colour_term, round(sqrt(v * i1), 8) AS zero_point_err, round(sqrt(v * i2), 8) AS extinction_err, round(sqrt(v * i3), 8) AS colour_term_err, round(sqrt(v), 7) AS spread FROM f6 JOIN p USING (l_returnflag)""")
 def agg26_zero_point(spark, sf_dir):
-    fit, _ = X.robust_linear(stars(spark, sf_dir), "mag", ("one", "minus_airmass", "minus_colour"), keys=("l_returnflag",), clip=2.5, rounds=6, floor=0.02)
+    fit, _ = X.robust_linear(stars(spark, sf_dir), "mag", ("one", "minus_airmass", "minus_colour"), keys=("l_returnflag",), clip=2.5, rounds=6, floor=0.02, large=True)
     c, e = (lambda k: F.col("coef")[k]), (lambda k: F.sqrt(F.col("covariance")[4 * k]))
     return fit.select("l_returnflag", "n", *rounded(7, zero_point=c(0), extinction=c(1), colour_term=c(2), spread=F.col("spread")), *rounded(8, zero_point_err=e(0), extinction_err=e(1), colour_term_err=e(2)))
 

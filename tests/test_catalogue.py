@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -136,6 +137,30 @@ def test_parts_grow_with_the_rows(spark, monkeypatch, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 25
 
 
+def test_bracketed_medians_are_exact(spark):
+    from annulus.operators.quantiles import bracketed_median
+
+    r = np.random.default_rng(8)
+    groups = {"a": r.normal(size=30_001).tolist(), "b": r.integers(0, 3, 2000).astype(float).tolist(), "c": [5.0], "d": [1.0, 4.0], "e": [7.0] * 9, "f": [3.0, 1.0, 2.0, 9.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("g", None), ("a", float("nan"))]
+    d = spark.createDataFrame(rows, "k string, v double").repartition(4).cache()
+    for reach in (5e-4, 0.0):  # without a reach the bracket misses the middle of some groups
+        got = {x.k: (x.n, x["median"]) for x in bracketed_median(d, ("k",), "v", reach=reach).collect()}
+        assert got == {k: (len(vs), pytest.approx(float(np.median(vs)), abs=1e-12)) for k, vs in groups.items()}
+    assert bracketed_median(d.where("k = 'f'"), (), "v").collect()[0]["median"] == 2.5
+    assert bracketed_median(d.limit(0), ("k",), "v").count() == 0
+
+
+def test_zero_point_takes_no_median_of_a_group_in_one_task(spark, monkeypatch):
+    from annulus.operators import fits
+
+    def refuse(*_):
+        raise AssertionError("a median of one group")
+
+    monkeypatch.setattr(fits.F, "median", refuse)
+    assert QUERIES["agg26_zero_point"](spark, SF).count() == 3
+
+
 def test_one_to_one_join_refuses_repeated_keys(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, a string"), spark.createDataFrame([(1, "p"), (1, "q"), (3, "r")], "k int, b string")
     assert [tuple(r) for r in match.one_to_one(a, b.where("b <> 'q'"), ["k"]).collect()] == [(1, "x", "p")]
