@@ -176,38 +176,50 @@ def bucket_links(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
+#: Bands whose links are united before the others are searched.
+FIRST = 6
+
+
 def simhash_classes(nodes: DataFrame, n: int) -> DataFrame:
     """Rows (node, root) of the `nodes` (node, bands, w0, ...) joined, directly or in steps, by wide fingerprints that share a band and differ in few bits of their head.
 
     A bucket is a band's number and bits. Buckets of one band that begin alike are compared in one task, each bucket for itself, and give a spanning forest of
-    their links, not the links. Roots have no row themselves.
+    their links, not the links. A group of near copies spans nearly the same forest in each band, so the first bands are united by themselves, and the others only give
+    links between what is still apart: links grow with the members of a group, not with members times bands. Roots have no row themselves.
     """
-    _, width = band_plan(n)
+    bands, width = band_plan(n)
     shift = width - min(width, max(0, math.ceil(math.log2(max(n, 1))) - 17))
     heads = [f"w{i}" for i in range(HEAD)]
-    rows = nodes.select("node", *heads, F.explode("bands").alias("bucket")).withColumn("cell", F.shiftright("bucket", shift))
 
     def compare(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket").to_numpy()
-        order = np.argsort(bucket, kind="stable")
-        node = table.column("node").to_numpy()[order]
+        bucket, node = table.column("bucket").to_numpy(), table.column("node").to_numpy()
+        order = np.lexsort((node, bucket))
+        label = table.column("label").to_numpy()[order]
         w = np.stack([table.column(c).to_numpy().view(np.uint64) for c in heads], axis=1)[order]
         starts = np.nonzero(np.diff(bucket[order], prepend=-1))[0]
         a, b = [], []
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
-            if e - s < 2:
+            if (label[s:e] == label[s]).all():
                 continue
             i, j = bucket_links(w[s:e])
-            if not len(i):
-                continue
-            root = forest(i, j, e - s)
-            k = np.nonzero(root != np.arange(e - s))[0]
-            a.append(node[s + k])
-            b.append(node[s + root[k]])
+            names, at = np.unique(label[s:e], return_inverse=True)
+            root = forest(at[i], at[j], len(names))
+            k = np.nonzero(root != np.arange(len(names)))[0]
+            a.append(names[k])
+            b.append(names[root[k]])
         none = [np.empty(0, dtype=np.int64)]
         return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
 
-    return components(rows.groupBy("cell").applyInArrow(lambda t: lean(compare(t)), "a long, b long"))
+    def united(labelled: DataFrame, some) -> DataFrame:
+        rows = labelled.select("node", "label", *heads, F.explode(some).alias("bucket")).withColumn("cell", F.shiftright("bucket", shift))
+        return components(rows.groupBy("cell").applyInArrow(lambda t: lean(compare(t)), "a long, b long"))
+
+    begun = united(nodes.withColumn("label", F.col("node")), F.slice("bands", 1, FIRST)).select("node", F.col("root").alias("label"))
+    labelled = nodes.join(begun, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = united(labelled, F.slice("bands", FIRST + 1, bands))
+    # Labels are roots of the first bands, or nodes without a link there, so none has a row in `begun`.
+    into = more.select(F.col("node").alias("label"), "root")
+    return begun.join(into, "label", "left").select("node", F.coalesce("root", "label").alias("root")).union(more.select("node", "root"))
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:

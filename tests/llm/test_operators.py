@@ -355,6 +355,30 @@ def test_links_of_a_bucket_connect_what_brute_force_connects():
     assert np.array_equal(root, wanted) and len(set(root)) < 300
 
 
+def test_links_of_a_group_grow_with_its_members_and_not_with_the_bands(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    n = 600
+    bands, width = simhash.band_plan(n)
+    bits = r.random((40, 64 * simhash.HEAD + bands * width)) < 0.5
+    bits = bits[np.where(np.arange(n) < 500, 0, r.integers(1, 40, n))]  # one large group, others of a few
+    bits ^= r.random(bits.shape) < 0.06
+    heads = np.packbits(bits[:, : 64 * simhash.HEAD], axis=1).view(np.int64)
+    buckets = bits[:, 64 * simhash.HEAD :].reshape(n, bands, width) @ (1 << np.arange(width)[::-1]) + (np.arange(bands) << width)
+    node = r.permutation(n)
+    rows = [(int(k), b.tolist(), *h.tolist()) for k, b, h in zip(node, buckets, heads)]
+    links, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda e: links.append(e.distinct().count()) or components(e))
+    got = simhash.simhash_classes(spark.createDataFrame(rows, "node long, bands array<long>, " + ", ".join(f"w{i} long" for i in range(simhash.HEAD))), n)
+    near = np.bitwise_count((heads[:, None] ^ heads[None]).view(np.uint64)).sum(axis=2) <= simhash.most_bits(64 * simhash.HEAD)
+    meet = np.zeros((n, n), dtype=bool)
+    for x in buckets.T:
+        meet |= x[:, None] == x[None]
+    i, j = np.nonzero(near & meet)
+    root = simhash.forest(node[i], node[j], n)
+    assert {(x.node, x.root) for x in got.collect()} == {(k, int(v)) for k, v in enumerate(root) if v != k}
+    assert sum(links) <= (simhash.FIRST + 1) * n
+
+
 def test_quality_messages_do_not_depend_on_the_order_of_rows():
     from annulus.llm.quality import Grams, by_shard
 
