@@ -164,9 +164,9 @@ def joi09_unmatched(spark, sf_dir):
 b AS (SELECT c_custkey AS id, c_acctbal / 100 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer)
 SELECT a.id AS a_id, b.id AS b_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance FROM a, b WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 3""")
 def joi14_within_radius(spark, sf_dir):
-    from ..operators.match import radius_join
+    from ..operators.match import radius_join, rounded
 
-    return radius_join(*star_lists(spark, sf_dir), 3.0).withColumn("distance", F.round("distance", 6))
+    return radius_join(*star_lists(spark, sf_dir), 3.0).withColumn("distance", rounded(F.col("distance"), 6))
 
 
 def star_lists(spark, sf_dir):

@@ -129,6 +129,15 @@ def test_nearest_begins_in_narrow_cells_where_rows_crowd(spark):
     assert widths[0] < 0.01 and widths[-1] == 3.0 and widths == sorted(widths)
 
 
+def test_distances_are_rounded_in_doubles_as_the_sql_does(spark, con):
+    r = np.random.default_rng(9)
+    values = [0.0, 3.0, 5e-7, 4.9e-7, 1.0000005, 2.0000015, 0.1234565, 2.999999499999, *(r.random(20_000) * 3).tolist(), *(r.integers(0, 3_000_000, 2000) / 1e6 + 5e-7).tolist()]
+    got = [x.d for x in spark.createDataFrame([(v,) for v in values], "v double").select(match.rounded(F.col("v"), 6).alias("d")).collect()]
+    assert got == con.execute("select list_transform(?::double[], lambda x: round(x, 6))", [values]).fetchall()[0][0]
+    plan = QUERIES["joi14_within_radius"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan  # a decimal for each of the pairs
+
+
 @pytest.mark.parametrize("name", ["agg37_spearman", "joi06_one_to_one"])
 def test_parts_grow_with_the_rows(spark, monkeypatch, name):
     from annulus.operators import lineage
